@@ -3,8 +3,8 @@
 Every learned language gets a raw-content dictionary, made of a bounded, hash-chosen sample of pieces of labelled
 texts. A text is lower-cased, its runs of other characters
 than letters become one space, it is cut into blocks, every block is compressed with each dictionary, and the sizes of all its blocks are
-summed, so that each part of a long text counts alike. The smallest total wins (a tie goes to the name that sorts
-first). The score is the winner's share of exp(-size difference per byte), and a text is rejected when the saving
+summed, so that each part of a long text counts alike. The smallest total wins (a tie goes to the language with
+more learned rows, then to the name that sorts first). The score is the winner's share of exp(-size difference per byte), and a text is rejected when the saving
 against the runner-up is below MIN_MARGIN of the winner's size.
 
 Defined cases: a text that is null or has no letter gives `und`, score 0 and a rejection; so does every text when
@@ -62,14 +62,14 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     taken: dict[str, list[str]] = {}
     for r in pieces.orderBy("h", "piece").limit(2 * sample_docs * len(counts)).collect():
         taken.setdefault(r.l, []).append(r.piece)
-    return {k: b" ".join(map(letters, v))[-DICTIONARY_BYTES:] for k, v in sorted(taken.items())}
+    return {k: b" ".join(map(letters, v))[-DICTIONARY_BYTES:] for k, v in sorted(taken.items(), key=lambda x: (-counts[x[0]], x[0]))}
 
 
 class Compressors:
     """The compressors of all languages, built once in each Python worker."""
 
     def __init__(self, dictionaries: dict[str, bytes]) -> None:
-        self.langs = sorted(dictionaries)
+        self.langs = list(dictionaries)
         self.each = []
         for name in self.langs:
             d = zstandard.ZstdCompressionDict(dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
