@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, quality
+from . import langid, minhash, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,9 +33,48 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", f"{name}.lang_pred", f"{name}.score", f"{name}.margin", F.col(f"{name}.kept").alias("confident"))
 
 
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op7_minhash_dedup": op7_minhash_dedup,
     "op8_language_id": op8_language_id,
 }
 
-ORACLES: dict[str, str] = {}
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Components of links(a, b) over ids(id): the smallest id that each reaches.
+_REACHED = """
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(id, other) AS (
+    SELECT id, id FROM ids
+    UNION
+    SELECT r.id, e.b FROM reach r JOIN edges e ON e.a = r.other
+),
+reached AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)
+"""
+
+ORACLES: dict[str, str] = {
+    "op7_minhash_dedup": rf"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+),
+sets AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
+    FROM words
+),
+marks AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+common AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c
+    FROM marks a JOIN marks b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+),
+links AS (SELECT a, b FROM common WHERE 100 * c >= 85 * (na + nb - c)),
+ids AS (SELECT doc_id AS id FROM documents),
+{_REACHED}
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM sets JOIN reached ON doc_id = id
+""",
+}
