@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, minhash, quality
+from . import langid, minhash, pii, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,12 +33,20 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", f"{name}.lang_pred", f"{name}.score", f"{name}.margin", F.col(f"{name}.kept").alias("confident"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, name = pii.annotate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = docs.select("doc_id", F.col(name).alias("found"))
+    counts = [pii.count(F.col("found"), kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("found"), pii.BASE_KINDS), 256).alias("base_sha256"), pii.joined(F.col("found"), pii.KINDS).alias("spans"))
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op4_pii": op4_pii,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op8_language_id": op8_language_id,
 }
