@@ -195,7 +195,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     classes = written(known.groupBy("digest").agg(F.min("id").alias("id"), F.min_by("bands", "id").alias("bands")), "classes")
     bands = classes.select("id", F.explode("bands").alias("band"))
     first = bands.groupBy("band").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("band", "first")
-    near = bands.join(first, "band").filter("id != first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
+    # a class's bands lead to at most BANDS first members; the smallest of them stands for the others
+    leads = bands.join(first, "band").groupBy("id").agg(F.sort_array(F.collect_set("first")).alias("firsts"))
+    near = leads.select(F.explode(F.array_union(F.array("id"), "firsts")).alias("a"), F.col("firsts")[0].alias("b")).filter("a != b").distinct()
     candidates = connected(near)
     sizes = candidates.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     candidates = written(candidates.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "candidates")
