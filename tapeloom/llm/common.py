@@ -8,12 +8,13 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Upper bounds of one Arrow batch sent to a Python worker.
 BATCH_ROWS = 1024
 BATCH_BYTES = 16 << 20
+CHUNK = 1000
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -75,9 +76,17 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
-def partitions_for(df_rows: int, rows_each: int, at_least: int) -> int:
-    """How many partitions keep about rows_each rows in each."""
-    return max(at_least, -(-df_rows // rows_each))
+def totals_before(parts: DataFrame, by: list[str], order: str, value: str, out: str) -> DataFrame:
+    """parts with the sum of value over the rows of the same group with a smaller order (a whole number).
+
+    Sums of CHUNK orders at a time are summed first, so no task sees more than a thousandth of a group's rows."""
+    chunk = fresh(parts, "chunk")
+    inside = parts.withColumn(chunk, F.floor(F.col(order) / CHUNK))
+    window = Window.partitionBy(*by)
+    chunks = inside.groupBy(*by, chunk).agg(F.sum(value).alias("all")).withColumn("ahead", F.sum("all").over(window.orderBy(chunk)) - F.col("all"))
+    inside = inside.withColumn("base", F.sum(value).over(Window.partitionBy(*by, chunk).orderBy(order)) - F.col(value))
+    same = " and ".join(f"i.`{c}` <=> c.`{c}`" for c in (*by, chunk))
+    return inside.alias("i").join(chunks.alias("c"), F.expr(same)).select(*(F.col(f"i.`{c}`").alias(c) for c in parts.columns), (F.col("base") + F.col("ahead")).alias(out))
 
 
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -21,14 +21,13 @@ to no pieces.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, written
+from .common import bounded_batches, totals_before, written
 from .tokens import encoder
 
 LENGTH = 1024
@@ -147,13 +146,7 @@ def pack(docs: DataFrame, file: str, key: str = "doc_id", text: str = "text", so
         shares = None
 
     # tokens of a queue in the partitions before: few rows for each queue, none of them documents
-    chunk = F.floor(F.col("part") / 1000)
-    inside = parts.withColumn("chunk", chunk)
-    from pyspark.sql import Window
-
-    ahead = inside.groupBy("queue", "chunk").agg(F.sum("tokens").alias("all")).withColumn("ahead", F.sum("all").over(Window.partitionBy("queue").orderBy("chunk")) - F.col("all"))
-    base = F.sum("tokens").over(Window.partitionBy("queue", "chunk").orderBy("part")) - F.col("tokens")
-    bases = inside.withColumn("base", base).alias("i").join(ahead.alias("a"), F.expr("i.queue <=> a.queue and i.chunk = a.chunk")).select(F.col("i.queue").alias("queue"), "part", (F.col("base") + F.col("ahead")).alias("base"))
+    bases = totals_before(parts, ["queue"], "part", "tokens", "base").select("queue", "part", "base")
     if parts.count() <= BROADCAST_ROWS:
         bases = F.broadcast(bases)
     placed = tokens.alias("t").join(bases.alias("b"), F.expr("t.queue <=> b.queue and t.part = b.part")).select("key", "t.queue", (F.col("base") + F.col("at")).alias("first"), "n", "ids")

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, minhash, packing, pii, quality
+from . import dac, langid, minhash, packing, pii, quality, warc
+from .common import scratch
 from .tokens import path
 
 
@@ -41,6 +42,12 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("found"), pii.BASE_KINDS), 256).alias("base_sha256"), pii.joined(F.col("found"), pii.KINDS).alias("spans"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    to = scratch(spark, "archives")
+    warc.convert(table(spark, sf_dir, "pages"), to)
+    return warc.read(spark, to).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
@@ -49,12 +56,20 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"))
 
 
+def op10_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    to = scratch(spark, "codes")
+    dac.write(table(spark, sf_dir, "documents"), path("word_bpe_49k.json"), to)
+    return dac.read(spark, to)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op4_pii": op4_pii,
+    "op5_warc": op5_warc,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op8_language_id": op8_language_id,
     "op9_packing": op9_packing,
+    "op10_token_codes": op10_token_codes,
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -71,6 +86,16 @@ reached AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)
 """
 
 ORACLES: dict[str, str] = {
+    "op5_warc": """
+WITH payloads AS (
+    SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM payloads)
+SELECT page_id, payload_bytes, payload_digest,
+    CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to
+FROM firsts
+""",
     "op7_minhash_dedup": rf"""
 WITH RECURSIVE words AS (
     SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
