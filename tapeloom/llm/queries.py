@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dac, langid, minhash, packing, pii, quality, warc
+from . import dac, embeddings, langid, minhash, packing, pii, quality, warc
 from .common import scratch
 from .tokens import path
 
@@ -35,6 +35,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", f"{name}.lang_pred", f"{name}.score", f"{name}.margin", F.col(f"{name}.kept").alias("confident"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, name = pii.annotate(table(spark, sf_dir, "documents").select("doc_id", "text"))
     found = docs.select("doc_id", F.col(name).alias("found"))
@@ -64,6 +68,7 @@ def op10_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_pii": op4_pii,
     "op5_warc": op5_warc,
     "op7_minhash_dedup": op7_minhash_dedup,
@@ -86,6 +91,25 @@ reached AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)
 """
 
 ORACLES: dict[str, str] = {
+    "op3_embedding_dedup": f"""
+WITH RECURSIVE wide AS (
+    SELECT vec_id AS id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings
+),
+usable AS (
+    SELECT id, label, x FROM wide
+    WHERE label IS NOT NULL AND x IS NOT NULL AND len(list_filter(x, lambda v: v IS NULL OR NOT isfinite(v))) = 0
+        AND len(list_filter(x, lambda v: v <> 0)) > 0
+),
+links AS (
+    SELECT u.id AS a, v.id AS b FROM usable u JOIN usable v
+        ON u.label = v.label AND len(u.x) = len(v.x) AND u.id <> v.id AND list_cosine_similarity(u.x, v.x) >= 0.93
+),
+ids AS (SELECT id FROM wide),
+{_REACHED},
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT id AS vec_id, coalesce(n, 0) AS n_links, component_id, id = component_id AS kept
+FROM reached LEFT JOIN counted ON a = id
+""",
     "op5_warc": """
 WITH payloads AS (
     SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
