@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dac, embeddings, langid, minhash, packing, pii, quality, warc
+from . import dac, embeddings, langid, minhash, packing, pii, quality, sampling, warc
 from .common import scratch
 from .tokens import path
 
@@ -52,6 +52,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, to).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_sampled_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.segmentations(table(spark, sf_dir, "documents"), path("piece_bpe_32k.model"))
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_pii": op4_pii,
     "op5_warc": op5_warc,
+    "op6_sampled_segmentations": op6_sampled_segmentations,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op8_language_id": op8_language_id,
     "op9_packing": op9_packing,
