@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dac, embeddings, langid, minhash, packing, pii, quality, sampling, warc
+from . import dac, embeddings, langid, minhash, ngrams, packing, pii, quality, sampling, warc
 from .common import scratch
 from .tokens import path
 
@@ -35,6 +35,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", f"{name}.lang_pred", f"{name}.score", f"{name}.margin", F.col(f"{name}.kept").alias("confident"))
 
 
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.scores(table(spark, sf_dir, "documents"))
+
+
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -72,6 +76,7 @@ def op10_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_lm_scores": op2_lm_scores,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_pii": op4_pii,
     "op5_warc": op5_warc,
