@@ -1,11 +1,366 @@
-"""All queries of the engine's own operators, with the SQL that gives the same rows."""
+"""All queries of the engine's own operators, with the SQL that gives the same rows.
+
+The tables hold no images, so each query makes an operator's input from their rows: texts are files of bytes, orders
+are files and their lines blocks, parts are blocks of a device and names in directories, events and conversations
+are streams of records. Every query reads its tables whole."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from tapeloom.functions import binary as B
+from tapeloom.operators import audit, chains, choices, rasters, sequences
+from tapeloom.sources import streams
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None):
+    """Register a query under its function's name, with its SQL if there is any."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _bytes(text: str) -> F.Column:
+    return F.coalesce(F.col(text), F.lit("")).cast("binary")
+
+
+#: The bytes bs of each text as a list of n numbers.
+_BYTES = """
+h AS (SELECT doc_id, lang, hex(encode(coalesce(text, ''))) AS h FROM documents),
+bytes AS (SELECT doc_id, lang, len(h) // 2 AS n, list_transform(regexp_extract_all(h, '..'), lambda x: CAST('0x' || x AS BIGINT)) AS bs FROM h)
+"""
+
+_SUMS = (
+    _BYTES
+    + """,
+f AS (
+    SELECT doc_id, lang, n, coalesce(list_aggregate(bs, 'bit_xor'), 0) AS parity, CAST(coalesce(list_sum(bs), 0) AS BIGINT) AS total,
+        CAST(coalesce(list_sum(list_transform(bs, lambda b, i: (n - i + 1) * b)), 0) AS BIGINT) AS weighted,
+        CAST(coalesce(list_sum(list_transform(bs, lambda b, i: b << (8 * (3 - (i - 1) % 4)))), 0) AS BIGINT) AS words
+    FROM bytes
+)
+"""
+)
+
+
+def _pieces(digits: int) -> str:
+    """Blocks x, numbered s from 0, of the hexadecimal digits of each text."""
+    return f"""
+h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+pieces AS (SELECT doc_id, unnest(list_transform(range((len(h) + {digits - 1}) // {digits}), lambda s: {{'s': s, 'x': substring(h, {digits} * s + 1, {digits})}})) AS p FROM h),
+sectors AS (SELECT doc_id, p.s AS s, p.x AS x FROM pieces)
+"""
+
+
+@query(
+    f"""WITH {_SUMS}
+SELECT lang, count(*) AS files, CAST(sum(n) AS BIGINT) AS bytes, bit_xor(parity) AS parity, CAST(sum(total % 256) AS BIGINT) AS sum8,
+    CAST(sum(total % 255) AS BIGINT) AS sector_sum
+FROM f GROUP BY lang"""
+)
+def checksum_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = B.figures(_bytes("text"))
+    docs = table(spark, sf_dir, "documents").select("lang", f.alias("f"))
+    return docs.groupBy("lang").agg(
+        F.count("*").alias("files"), F.sum("f.n").alias("bytes"), F.bit_xor("f.parity").alias("parity"), F.sum(B.sum8(F.col("f"))).alias("sum8"), F.sum(B.sector_sum(F.col("f"))).alias("sector_sum")
+    )
+
+
+@query(
+    f"""WITH {_SUMS}
+SELECT doc_id, n, parity, total % 256 AS sum8, total % 65536 AS sum16, (256 - (total + n) % 256) % 256 AS header_sum, total % 255 AS sector_sum,
+    (4294967296 - words % 4294967296) % 4294967296 AS longword_sum,
+    4294967295 - CASE WHEN words = 0 THEN 0 ELSE (words - 1) % 4294967295 + 1 END AS boot_sum,
+    (n + weighted) % 65521 * 65536 + (1 + total) % 65521 AS adler32
+FROM f"""
+)
+def block_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", B.figures(_bytes("text")).alias("f"))
+    f = F.col("f")
+    sums = {"sum8": B.sum8, "sum16": B.sum16, "header_sum": B.header_sum, "sector_sum": B.sector_sum, "longword_sum": B.longword_sum, "boot_sum": B.boot_sum, "adler32": B.adler32}
+    return docs.select("doc_id", "f.n", "f.parity", *(fn(f).cast("long").alias(name) for name, fn in sums.items()))
+
+
+@query(None)
+def crc_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CRC-32 by the built-in function (its check value is in the tests)."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.crc32(_bytes("text")).alias("crc"))
+
+
+@query(
+    f"""WITH {_BYTES},
+sized AS (SELECT *, CASE WHEN n > 0 THEN CAST(2 ** floor(log2(n)) AS BIGINT) ELSE 0 END AS base FROM bytes),
+halves AS (SELECT doc_id, n, base, coalesce(list_sum(bs[1:base]), 0) AS head, coalesce(list_sum(bs[base + 1:]), 0) AS tail FROM sized)
+SELECT doc_id, CAST((head + CASE WHEN n > base THEN tail * (base // (n - base)) ELSE 0 END) % 65536 AS BIGINT) AS checksum FROM halves"""
+)
+def mirrored_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cartridge whose size isn't a power of two counts its rest as often as it is mirrored."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", _bytes("text").alias("rom")).withColumn("n", F.octet_length("rom").cast("long"))
+    base = F.when(F.col("n") > 0, F.expr("shiftleft(1L, length(bin(n)) - 1)")).otherwise(0)
+    docs = docs.withColumn("base", base.cast("int"))
+    head = B.figures(F.substring("rom", F.lit(1), F.col("base")))["total"]
+    tail = B.figures(F.expr("substring(rom, base + 1)"))["total"]
+    docs = docs.select("doc_id", "n", F.col("base").cast("long").alias("base"), head.alias("head"), tail.alias("tail"))
+    times = F.when(F.col("n") > F.col("base"), F.floor(F.col("base") / (F.col("n") - F.col("base")))).otherwise(0)
+    return docs.select("doc_id", ((F.col("head") + F.col("tail") * times) % 65536).cast("long").alias("checksum"))
+
+
+@query(
+    f"""WITH {_pieces(512)},
+lists AS (SELECT doc_id, s, list_transform(range(254, -1, -1), lambda i: coalesce(CAST('0x' || nullif(substring(x, CAST(2 * i + 1 AS BIGINT), 2), '') AS BIGINT), 0)) AS bs FROM sectors)
+SELECT doc_id, s AS sector, list_reduce(list_prepend(255, bs), lambda a, b: (CASE WHEN a > 255 THEN a % 256 + 1 ELSE a END) + b) % 256 AS checksum
+FROM lists"""
+)
+def map_sector_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(B.blocks(_bytes("text"), 256)).alias("s"))
+    return docs.select("doc_id", F.col("s.number").cast("long").alias("sector"), B.map_sum(F.col("s.block")).alias("checksum"))
+
+
+@query(
+    f"""WITH {_pieces(510)}
+SELECT doc_id, s AS block, len(x) // 2 AS length,
+    CAST((1 + len(x) // 2 + list_sum(list_transform(regexp_extract_all(x, '..'), lambda y: CAST('0x' || y AS BIGINT)))) % 256 AS BIGINT) AS checksum
+FROM sectors"""
+)
+def tape_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Data blocks of a cassette: type, length, at most 255 bytes, and the sum of all of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(B.blocks(_bytes("text"), 255)).alias("b"))
+    docs = docs.select("doc_id", F.col("b.number").cast("long").alias("block"), B.figures(F.col("b.block")).alias("f"))
+    return docs.select("doc_id", "block", F.col("f.n").alias("length"), ((1 + F.col("f.n") + F.col("f.total")) % 256).alias("checksum"))
+
+
+@query(
+    """SELECT p_partkey, list_reduce(list_prepend(CAST(len(p_name) AS BIGINT), list_transform(string_split(upper(p_name), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda h, c: (h * 13 + c) & 2047) % 72 AS slot FROM part"""
+)
+def directory_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", B.name_hash(F.col("p_name")).alias("slot"))
+
+
+@query("SELECT p_brand, upper(p_name) AS folded, count(*) AS entries FROM part GROUP BY ALL HAVING count(*) > 1")
+def repeated_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.repeated_names(table(spark, sf_dir, "part"), "p_brand", "p_name")
+
+
+@query(
+    """WITH asked AS (SELECT l_orderkey, l_linenumber, p_brand, lower(p_name) AS p_name FROM lineitem JOIN part ON p_partkey = l_partkey),
+folded AS (SELECT p_brand, upper(p_name) AS f, min(p_partkey) AS p_partkey FROM part GROUP BY ALL)
+SELECT l_orderkey, l_linenumber, folded.p_partkey FROM asked LEFT JOIN folded ON asked.p_brand = folded.p_brand AND upper(asked.p_name) = f"""
+)
+def path_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name")
+    asked = table(spark, sf_dir, "lineitem").join(part, F.col("p_partkey") == F.col("l_partkey")).select("l_orderkey", "l_linenumber", "p_brand", F.lower("p_name").alias("p_name"))
+    return audit.look_up(asked, part, "p_brand", "p_name").select("l_orderkey", "l_linenumber", "p_partkey")
+
+
+@query("SELECT l_partkey AS block, count(DISTINCT l_orderkey) AS owners FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_orderkey) > 1")
+def contested_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.contested(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("block"), "l_orderkey"), ["block"], "l_orderkey")
+
+
+_USED = "used AS (SELECT DISTINCT l_partkey AS block FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45), bitmap AS (SELECT p_partkey AS block, p_size % 3 = 0 AS free FROM part)"
+
+
+def _device(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    used = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R' and l_quantity > 45").select(F.col("l_partkey").alias("block"))
+    return used, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("block"), (F.col("p_size") % 3 == 0).alias("free"))
+
+
+@query(f"WITH {_USED} SELECT block FROM used JOIN bitmap USING (block) WHERE free")
+def used_but_free(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.used_but_free(*_device(spark, sf_dir), ["block"])
+
+
+@query(f"WITH {_USED} SELECT block FROM bitmap WHERE NOT free AND block NOT IN (SELECT block FROM used)")
+def allocated_but_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.allocated_but_unused(*_device(spark, sf_dir), ["block"])
+
+
+@query(
+    """WITH t AS (
+    SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS a, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_partkey) AS b FROM lineitem
+), j AS (SELECT x.l_orderkey, x.a, x.l_partkey <> y.l_partkey AS wrong FROM t x JOIN t y ON x.l_orderkey = y.l_orderkey AND x.a = y.b)
+SELECT l_orderkey, count(*) AS n_blocks, min(CASE WHEN wrong THEN a - 1 END) AS first_wrong FROM j GROUP BY 1 HAVING bool_or(wrong)"""
+)
+def pointer_table_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.out_of_order(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_shipdate", "l_partkey")
+
+
+@query(
+    """SELECT o_orderkey, CAST(o_totalprice / 20000 AS BIGINT) AS declared, coalesce(n, 0) AS held,
+    CASE WHEN coalesce(n, 0) < CAST(o_totalprice / 20000 AS BIGINT) THEN 'short' WHEN coalesce(n, 0) > CAST(o_totalprice / 20000 AS BIGINT) THEN 'long' ELSE 'none' END AS fault
+FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey"""
+)
+def declared_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "orders").select("o_orderkey", F.round(F.col("o_totalprice") / 20000).cast("long").alias("size"))
+    blocks = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.lit(1).cast("long").alias("one"))
+    return audit.size_faults(files, blocks, "o_orderkey", "size", "one")
+
+
+@query(
+    """WITH b AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey) AS place, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)
+SELECT l_orderkey, place AS block, CASE WHEN l_orderkey % 5 <> 0 THEN n - place END AS steps, l_orderkey % 5 = 0 AS loops FROM b"""
+)
+def chain_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks linked by ship date; the last block of every fifth file points back to its first, and so loops."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("l_orderkey")
+    blocks = table(spark, sf_dir, "lineitem").select("l_orderkey", F.row_number().over(w.orderBy("l_shipdate", "l_linenumber", "l_partkey")).cast("long").alias("block"), F.count("*").over(w).alias("n"))
+    following = F.when(F.col("block") < F.col("n"), F.col("block") + 1).when(F.col("l_orderkey") % 5 == 0, 1)
+    return chains.walk(blocks.select("l_orderkey", "block", following.alias("next")), ["l_orderkey"], "block", "next")
+
+
+@query(
+    """WITH d AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem),
+n AS (SELECT *, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS stop FROM d)
+SELECT l.l_orderkey, l_linenumber, l.l_partkey AS at, coalesce(stop, 1000000) - l.l_partkey AS length FROM lineitem l JOIN n ON n.l_orderkey = l.l_orderkey AND n.l_partkey = l.l_partkey"""
+)
+def payload_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("at"))
+    out = sequences.next_boundary(entries, ["l_orderkey"], "at", F.lit(1_000_000), "stop")
+    return out.select("l_orderkey", "l_linenumber", "at", (F.col("stop") - F.col("at")).alias("length"))
+
+
+@query(
+    """SELECT event_id, user_id, last_value(CASE WHEN event_type <> 'view' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS inputs_from FROM events"""
+)
+def repeated_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of an input recording: a frame of type view repeats the inputs of the last frame that had its own."""
+    frames = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.when(F.col("event_type") != "view", F.col("event_id")).alias("inputs"))
+    return sequences.repeat_last(frames, ["user_id"], ["ts", "event_id"], "inputs", "inputs_from").select("event_id", "user_id", "inputs_from")
+
+
+@query(
+    """SELECT event_id, CASE WHEN event_type <> 'click' AND coalesce(lag(event_type = 'click') OVER w, false) THEN lag(event_id) OVER w END AS header FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"""
+)
+def headers_of_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    return sequences.carry_header(events, ["user_id"], ["ts", "event_id"], F.col("event_type") == "click", F.col("event_id"), "header").select("event_id", "header")
+
+
+@query(
+    """SELECT conv_id, turn, 2049 + coalesce(CAST(sum(octet_length(encode(coalesce(text, ''))) + 5) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS address FROM conversations"""
+)
+def line_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the lines of a stored program stand: each has a link, a number, its bytes and an end."""
+    lines = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.octet_length(_bytes("text")) + 5).alias("size"))
+    return sequences.running_start(lines, ["conv_id"], ["turn"], F.col("size"), "address", 2049).select("conv_id", "turn", F.col("address").cast("long").alias("address"))
+
+
+_RUNS = """
+marked AS (SELECT *, CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+numbered AS (SELECT *, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) - 1 AS run FROM marked)
+"""
+
+
+@query(f"WITH {_RUNS} SELECT user_id, run, any_value(event_type) AS event_type, count(*) AS length FROM numbered GROUP BY user_id, run")
+def run_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.runs(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "event_type")
+
+
+@query("SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS place, event_type FROM events")
+def run_lengths_unrolled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.unrolled(run_lengths(spark, sf_dir), ["user_id"], "event_type")
+
+
+_SCORES = "p_partkey, p_size % 11 - 5 AS a, p_partkey % 9 - 4 AS b, CAST(floor(p_retailprice) AS BIGINT) % 7 - 3 AS c"
+
+
+@query(
+    f"""WITH s AS (SELECT {_SCORES} FROM part), u AS (SELECT p_partkey, 32704 AS o, a AS score FROM s UNION ALL SELECT p_partkey, 65472, b FROM s UNION ALL SELECT p_partkey, 4259776, c FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, o) AS k FROM u WHERE score > 0)
+SELECT s.p_partkey, CAST(r.o AS BIGINT) AS header_offset, CAST(r.score AS BIGINT) AS score FROM s LEFT JOIN r ON r.p_partkey = s.p_partkey AND k = 1"""
+)
+def best_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of three places for a cartridge's header the one of the best score."""
+    s = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 11 - 5).cast("long").alias("a"), (F.col("p_partkey") % 9 - 4).alias("b"), (F.floor("p_retailprice") % 7 - 3).alias("c"))
+    chosen = choices.best({0x7FC0: F.col("a"), 0xFFC0: F.col("b"), 0x40FFC0: F.col("c")})
+    return s.select("p_partkey", chosen.alias("h")).select("p_partkey", F.col("h.offset").alias("header_offset"), "h.score")
+
+
+@query(
+    """WITH g AS (SELECT *, row_number() OVER (ORDER BY tr, sp, si DESC) AS rank FROM (
+    SELECT t, s, d, CASE WHEN t BETWEEN 80 AND 84 THEN t - 80 WHEN t < 80 THEN 5 + 79 - t ELSE t END AS tr, s AS sp, d AS si FROM range(1, 87) a(t), range(9, 13) b(s), range(1, 3) c(d))),
+images AS (SELECT o_orderkey, (o_orderkey % 2 + 1) * (o_orderkey % 5 + 8) * (o_orderkey % 87 + 1) * 512 + o_orderkey % 3 AS size FROM orders),
+f AS (SELECT t * s * d * 512 AS size, arg_min(t, rank) AS tracks, arg_min(d, rank) AS sides, arg_min(s, rank) AS sectors_per_track FROM g GROUP BY 1)
+SELECT o_orderkey, tracks, sides, sectors_per_track FROM images LEFT JOIN f ON f.size = images.size - images.size % 512"""
+)
+def disk_geometries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    images = table(spark, sf_dir, "orders").select("o_orderkey", ((k % 2 + 1) * (k % 5 + 8) * (k % 87 + 1) * 512 + k % 3).alias("size"))
+    return choices.fit_geometry(images, "size").select("o_orderkey", "geometry.*")
+
+
+@query(
+    """SELECT a.l_orderkey, a.l_linenumber, a.l_partkey AS even, b.l_partkey AS odd FROM lineitem a JOIN lineitem b
+ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_linenumber % 2 = 1"""
+)
+def interleaved_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return choices.pairs(table(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_linenumber", "l_partkey")
+
+
+@query(
+    f"""WITH {_pieces(12288)}, screens AS (SELECT doc_id, s AS screen, rpad(x, 12288, '0') AS x FROM sectors)
+SELECT doc_id, screen, md5(array_to_string(list_transform(range(192), lambda y: substring(x, CAST(2 * (((y & 192) << 5) | ((y & 7) << 8) | ((y & 56) << 2)) + 1 AS BIGINT), 64)), '')) AS rows_md5 FROM screens"""
+)
+def screen_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as screens of 6144 bytes, their rows put from top to bottom."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", _bytes("text").alias("bytes"))
+    rest = F.pmod(-F.octet_length("bytes"), F.lit(rasters.SCREEN)).cast("int")
+    docs = docs.select("doc_id", F.concat("bytes", F.unhex(F.repeat(F.lit("00"), rest))).alias("bytes"))
+    docs = docs.select("doc_id", F.explode(B.blocks(F.col("bytes"), rasters.SCREEN)).alias("s"))
+    return docs.select("doc_id", F.col("s.number").cast("long").alias("screen"), F.md5(rasters.linear(F.col("s.block"))).alias("rows_md5"))
+
+
+@query(
+    """SELECT l_orderkey, x, CAST(sum((1 << (l_linenumber - 1)) * ((CAST(l_quantity AS BIGINT) >> (7 - x)) & 1)) AS BIGINT) AS color FROM lineitem, range(8) t(x) GROUP BY ALL"""
+)
+def plane_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planes = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_linenumber") - 1).alias("plane"), F.col("l_quantity").cast("int").alias("byte"))
+    return rasters.pixels(planes, ["l_orderkey"], "plane", "byte").select("l_orderkey", F.col("x").cast("long").alias("x"), F.col("color").cast("long").alias("color"))
+
+
+@query(
+    """SELECT p_brand, bit_or(1 << (p_size % 32)) AS bitmap, bit_count(bit_or(1 << (p_size % 32))) AS taken FROM (SELECT p_brand, CAST(p_size AS BIGINT) AS p_size FROM part) GROUP BY p_brand"""
+)
+def bitmap_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").select("p_brand", F.expr("shiftleft(1L, cast(p_size % 32 as int))").alias("bit"))
+    return part.groupBy("p_brand").agg(F.bit_or("bit").alias("bitmap")).withColumn("taken", F.bit_count("bitmap").cast("long"))
+
+
+@query(
+    """SELECT r_name, n_name, count(*) AS disks, count(*) FILTER (c_acctbal < 0) AS faulty FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY ALL"""
+)
+def machines_of_disks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    disks = table(spark, sf_dir, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    return disks.groupBy("r_name", "n_name").agg(F.count("*").alias("disks"), F.count_if(F.col("c_acctbal") < 0).alias("faulty"))
+
+
+@query(
+    """SELECT conv_id, turn, ord(role) AS kind, octet_length(encode(coalesce(text, ''))) AS length, md5(coalesce(text, '')) AS payload_md5 FROM conversations"""
+)
+def chunk_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns written as chunks of one stream for each conversation, and read back from its bytes."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.ascii("role").alias("kind"), _bytes("text").alias("payload"))
+    files = streams.assemble(turns, ["conv_id"], "turn", "kind", "payload", streams.TAGGED)
+    found = streams.split(files, ["conv_id"], "content", streams.TAGGED)
+    first = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
+    found = found.join(first, "conv_id").withColumn("turn", F.get(F.col("turns"), F.col("ordinal")))
+    return found.select("conv_id", "turn", F.col("kind").cast("long").alias("kind"), F.octet_length("payload").cast("long").alias("length"), F.md5("payload").alias("payload_md5"))
