@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Upper bounds of one Arrow batch sent to a Python worker.
-BATCH_ROWS = 1024
-BATCH_BYTES = 16 << 20
+BATCH_ROWS = 4096
+BATCH_BYTES = 8 << 20
 CHUNK = 1000
 
 
