@@ -12,7 +12,7 @@ and an edge to the root of its links there.
 
 Defined cases: a vector that is null, zero, or holds null or non-finite components links with nothing, and neither does
 one with a null label; it is its own component and kept. Vectors of different lengths don't link. Repeated rows are
-vectors of their own and link with each other. An empty table gives no rows.
+vectors of their own and link with each other. A row with a null id links with nothing and has a null component. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -171,5 +171,5 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", label: str = "label
     named = classes.select("label", "digest", "id", "n").join(links, "id", "left").join(reached, "id", "left")
     named = named.select("label", "digest", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("links"), F.coalesce("component", "id").alias("component"))
     out = ready.select("id", "label", "digest").join(named, ["label", "digest"], "left")
-    component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(key), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
+    return out.select(F.col("id").alias(key), F.coalesce(F.when(F.col("id").isNotNull(), F.col("links")), F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))

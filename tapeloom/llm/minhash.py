@@ -42,7 +42,7 @@ BROADCAST_IDS = 1_000_000
 class WordHashes(dict):
     """64-bit hashes of words; emptied when it grows beyond a bound."""
 
-    LIMIT = 400_000
+    LIMIT = 250_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -216,6 +216,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
     reached = classes.select("digest", "id").join(links, "id", "left").select("digest", F.coalesce("component", "id").alias("class_component"))
     named = sketches.select("id", "n_shingles", "digest").join(reached, "digest", "left")
-    component = F.coalesce("class_component", "id")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("class_component", "id"))
     return named.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
