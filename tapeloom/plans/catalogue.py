@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions import binary as B
 from tapeloom.operators import audit, chains, choices, rasters, sequences
-from tapeloom.sources import streams
+from tapeloom.sources import disks, streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -364,3 +364,28 @@ def chunk_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
     found = found.join(first, "conv_id").withColumn("turn", F.get(F.col("turns"), F.col("ordinal")))
     return found.select("conv_id", "turn", F.col("kind").cast("long").alias("kind"), F.octet_length("payload").cast("long").alias("length"), F.md5("payload").alias("payload_md5"))
+
+
+_FILES = "f AS (SELECT conv_id, 'TURN ' || turn AS name, encode(coalesce(text, '')) AS data, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS entry FROM conversations)"
+_DISK_BLOCKS = "greatest(1, (octet_length(data) + 253) // 254)"
+
+
+def _disks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("TURN "), F.col("turn")).alias("name"), _bytes("text").alias("data"))
+    return disks.master(turns, "conv_id", "turn", "name", "data")
+
+
+@query(f"WITH {_FILES} SELECT conv_id, entry, name, 130 AS kind, {_DISK_BLOCKS} AS blocks FROM f")
+def disk_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations mastered as disks, a file for each turn, and their directories read back."""
+    return disks.directory(_disks(spark, sf_dir), "conv_id", "image").select("conv_id", "entry", "name", "kind", "blocks")
+
+
+@query(f"WITH {_FILES} SELECT conv_id, entry, {_DISK_BLOCKS} AS n_blocks, md5(data) AS data_md5 FROM f")
+def disk_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return disks.contents(_disks(spark, sf_dir), "conv_id", "image").select("conv_id", "entry", "n_blocks", F.md5("data").alias("data_md5"))
+
+
+@query(f"WITH {_FILES} SELECT conv_id, 664 - CAST(sum({_DISK_BLOCKS}) AS BIGINT) AS free FROM f GROUP BY conv_id")
+def disk_free_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return disks.free_blocks(_disks(spark, sf_dir), "conv_id", "image")
