@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.functions import binary as B
+from tapeloom.functions import codecs
 from tapeloom.operators import audit, chains, choices, rasters, sequences
 from tapeloom.sources import disks, streams
 
@@ -389,3 +390,15 @@ def disk_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_FILES} SELECT conv_id, 664 - CAST(sum({_DISK_BLOCKS}) AS BIGINT) AS free FROM f GROUP BY conv_id")
 def disk_free_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return disks.free_blocks(_disks(spark, sf_dir), "conv_id", "image")
+
+
+@query("SELECT doc_id, codec, octet_length(encode(coalesce(text, ''))) AS n_bytes, md5(coalesce(text, '')) AS decoded_md5 FROM documents, (VALUES ('deflate'), ('gzip'), ('raw'), ('bits'), ('track'), ('memory')) AS c(codec)")
+def codec_round_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text through every codec and back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", _bytes("text").alias("raw"))
+    ways = {"deflate": ("deflate", {}), "gzip": ("deflate", {"wrapping": "gzip"}), "raw": ("deflate", {"wrapping": "raw"}), "bits": ("bits", {}), "track": ("track", {}), "memory": ("memory", {})}
+    each = [docs.select("doc_id", F.lit(name).alias("codec"), codecs.decode(codecs.encode(F.col("raw"), codec, **o), codec, **o).alias("d")) for name, (codec, o) in ways.items()]
+    out = each[0]
+    for more in each[1:]:
+        out = out.union(more)
+    return out.select("doc_id", "codec", F.octet_length("d.value").cast("long").alias("n_bytes"), F.md5("d.value").alias("decoded_md5"))
