@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tapeloom.functions import binary as B
 from tapeloom.functions import codecs
 from tapeloom.operators import audit, chains, choices, rasters, sequences
-from tapeloom.sources import disks, streams
+from tapeloom.sources import disks, headers, streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -402,3 +402,15 @@ def codec_round_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     for more in each[1:]:
         out = out.union(more)
     return out.select("doc_id", "codec", F.octet_length("d.value").cast("long").alias("n_bytes"), F.md5("d.value").alias("decoded_md5"))
+
+
+@query(
+    """SELECT p_partkey, 'crt' AS format, CAST(64 AS BIGINT) AS header_length, CAST(p_size AS BIGINT) AS hardware, p_partkey % 2 AS exrom, rtrim(substring(p_name, 1, 32)) AS name FROM part"""
+)
+def cartridge_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts written as cartridge headers, recognised by their first bytes and read back."""
+    c = F.col
+    values = {"header_length": F.lit(64), "version": F.lit(0x100), "hardware": c("p_size"), "exrom": c("p_partkey") % 2, "name": F.substring("p_name", 1, 32)}
+    files = table(spark, sf_dir, "part").select("p_partkey", headers.header(values, "crt").alias("content"))
+    f = headers.fields(c("content"), "crt")
+    return files.select("p_partkey", headers.sniffed(c("content")).alias("format"), f.alias("f")).select("p_partkey", "format", "f.header_length", "f.hardware", "f.exrom", "f.name")
