@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions import binary as B
 from tapeloom.functions import codecs
-from tapeloom.operators import audit, chains, choices, rasters, sequences
+from tapeloom.operators import audit, chains, choices, layouts, rasters, sequences
 from tapeloom.sources import disks, headers, streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -414,3 +414,56 @@ def cartridge_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "part").select("p_partkey", headers.header(values, "crt").alias("content"))
     f = headers.fields(c("content"), "crt")
     return files.select("p_partkey", headers.sniffed(c("content")).alias("format"), f.alias("f")).select("p_partkey", "format", "f.header_length", "f.hardware", "f.exrom", "f.name")
+
+
+@query(
+    f"""WITH {_pieces(2048)},
+patterns AS (SELECT doc_id, s, unnest(list_transform(range(256), lambda i: {{'i': i, 'w': CAST('0x' || substring(rpad(x, 2048, '0'), CAST(8 * i + 1 AS BIGINT), 8) AS BIGINT)}})) AS c FROM sectors)
+SELECT doc_id, c.i % 4 AS channel, count(*) AS cells, CAST(sum(((c.w >> 28) & 15) * 16 + ((c.w >> 12) & 15)) AS BIGINT) AS samples, CAST(sum((c.w >> 16) & 4095) AS BIGINT) AS periods,
+    CAST(sum((c.w >> 8) & 15) AS BIGINT) AS effects, max(c.w & 255) AS parameter, CAST(sum((c.i // 4) * (c.w & 1)) AS BIGINT) AS odd_rows
+FROM patterns GROUP BY doc_id, c.i % 4"""
+)
+def tracker_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as patterns of a tracker module, their notes summed up by channel."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(B.blocks(_bytes("text"), 1024)).alias("p"))
+    docs = docs.select("doc_id", F.col("p.number").alias("pattern"), F.unhex(F.rpad(F.hex("p.block"), 2048, "0")).alias("raw"))
+    notes = layouts.notes(docs, ["doc_id", "pattern"], "raw").groupBy("doc_id", "channel")
+    odd = F.sum(F.col("row") * F.col("parameter").bitwiseAND(1))
+    return notes.agg(F.count("*").alias("cells"), F.sum("sample").alias("samples"), F.sum("period").alias("periods"), F.sum("effect").alias("effects"), F.max("parameter").alias("parameter"), odd.alias("odd_rows"))
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, b & 7 AS ink, (b >> 3) & 7 AS paper, (b >> 6) & 1 AS bright, (b >> 7) & 1 AS flash FROM (SELECT l_orderkey, l_linenumber, l_partkey % 256 AS b FROM lineitem)"""
+)
+def cell_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", layouts.attribute(F.col("l_partkey") % 256).alias("a"))
+    return cells.select("l_orderkey", "l_linenumber", "a.*")
+
+
+@query(
+    """WITH t AS (SELECT t AS track, CASE WHEN t <= 17 THEN 21 WHEN t <= 24 THEN 19 WHEN t <= 30 THEN 18 ELSE 17 END AS n FROM range(1, 36) r(t)),
+f AS (SELECT track, n, CAST(sum(n) OVER (ORDER BY track) AS BIGINT) - n AS first FROM t)
+SELECT p_partkey, track, p_partkey % 700 - first AS sector FROM part LEFT JOIN f ON p_partkey % 700 >= first AND p_partkey % 700 < first + n"""
+)
+def block_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = table(spark, sf_dir, "part").select("p_partkey", layouts.address(F.col("p_partkey") % 700, disks.SECTORS).alias("a"))
+    return blocks.select("p_partkey", "a.track", "a.sector")
+
+
+@query(
+    """WITH c AS (SELECT o_custkey, o_orderstatus AS r, count(*) AS n FROM orders GROUP BY ALL)
+SELECT o_custkey, CAST(sum(n) AS BIGINT) AS files, array_to_string(list_sort(list_filter(['F', 'O', 'P'], lambda x: NOT list_contains(list(r), x))), ',') AS missing,
+    coalesce(array_to_string(list_sort(list(r) FILTER (n > 1)), ','), '') AS repeated FROM c GROUP BY o_custkey"""
+)
+def file_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of a customer as the files of a set, their states as roles of which a set needs each once."""
+    return layouts.sets(table(spark, sf_dir, "orders"), ["o_custkey"], "o_orderstatus", ["F", "O", "P"])
+
+
+@query(
+    """SELECT event_id, coalesce(CAST(sum(8 * CAST(floor(abs(value)) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS cycle FROM events"""
+)
+def pulse_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When each pulse of a tape starts, in cycles; a pulse is stored as an eighth of its cycles."""
+    pulses = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", (8 * F.floor(F.abs("value"))).alias("cycles"))
+    return sequences.running_start(pulses, ["user_id"], ["ts", "event_id"], F.col("cycles"), "cycle").select("event_id", F.col("cycle").cast("long").alias("cycle"))
