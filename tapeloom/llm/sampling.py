@@ -13,8 +13,8 @@ score of a path: sums over the sample weighted with its inverse are unbiased.
 
 Pieces don't reach across the start of a run of spaces, so the lattice is built for each distinct word of a batch, and
 all words of a batch are walked at once. Random numbers are hashes of the row's key, the round, the word and the step:
-a row gives the same sample in any batch or partition. Sets whose mass is below exp(CUTOFF) of the whole are never
-opened: their share of all probability is below the rounding of a double.
+a row gives the same sample in any batch or partition. Sets that lie beyond a node whose paths have less than
+exp(CUTOFF) of all probability are never opened: together they have less than the rounding of a double.
 
 Defined cases: a null or empty text has one segmentation, without pieces. A text with fewer segmentations than k gives
 all of them, each with score 1. A null key counts as 0. The character that stands for a space decodes as a space.
@@ -27,21 +27,21 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, tidy
 
 SAMPLES = 3
 RANK = 10
 SPACE = "▁"
-CUTOFF = -64.0
+CUTOFF = -40.0
 #: Characters of the texts whose lattices are held at a time; a longer text is held alone.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 12_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _RUNS = re.compile(f"{SPACE}+[^{SPACE}]*")
 
@@ -119,26 +119,29 @@ class Vocabulary:
 
 
 class Lattice:
-    """The lattices of distinct words (a space mark is put before each), as edges in order of words and nodes.
+    """The lattices of distinct words (a space mark is put before each), as edges in order of words and nodes; the likeliest
+    edge of a node comes first.
 
     An edge has a piece (or -1 - c for the bytes of character c, if there are several), a number of characters, its log-probability at its
     node, and the sum of the probabilities up to it; a node has a first edge."""
 
     def __init__(self, words: list[str], vocabulary: Vocabulary) -> None:
         sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        self.start = np.cumsum(sizes + 1) - (sizes + 1)  # a word's first node; its last node has no edge
-        self.end = self.start + sizes
+        self.start = (np.cumsum(sizes + 1) - (sizes + 1)).astype(np.int32)  # a word's first node; its last node has no edge
+        self.end = self.start + sizes.astype(np.int32)
         parts: list[tuple[np.ndarray, ...]] = []
         degree = np.zeros(int((sizes + 1).sum()), np.int64)
         for size in np.unique(sizes):
             own = np.flatnonzero(sizes == size)
             for k in range(0, len(own), step := max(1, 2_000_000 // int(size) ** 2)):
                 parts.append(self._edges([words[i] for i in own[k : k + step].tolist()], int(size), self.start[own[k : k + step]], vocabulary, degree))
-        node, piece, width, log, total = (np.concatenate([p[k] for p in parts]) if parts else np.empty(0) for k in range(5))
-        order = np.argsort(node, kind="stable")
-        self.piece, self.width, self.log, self.total = (x[order] for x in (piece, width, log, total))
-        self.node = node[order]
-        self.first = np.cumsum(degree) - degree
+        self.first = (np.cumsum(degree) - degree).astype(np.int32)
+        n = int(degree.sum())
+        self.node, self.piece, self.width = (np.empty(n, np.int32) for _ in range(3))
+        self.log, self.total = (np.empty(n) for _ in range(2))
+        for node, rank, piece, width, log, total in parts:
+            at = self.first[node] + rank
+            self.node[at], self.piece[at], self.width[at], self.log[at], self.total[at] = node, piece, width, log, total
 
     @staticmethod
     def _edges(words: list[str], size: int, start: np.ndarray, v: Vocabulary, degree: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -148,7 +151,7 @@ class Lattice:
         for i in range(size):
             sums[:, i + 1] = sums[:, i] * _BASE + codes[:, i]
         beta = np.zeros((len(words), size + 1))
-        out: list[list[np.ndarray]] = [[] for _ in range(5)]
+        out: list[list[np.ndarray]] = [[] for _ in range(6)]
         for i in range(size - 1, -1, -1):
             n = min(v.longest, size - i)
             hashes = sums[:, i + 1 : i + n + 1] - sums[:, i : i + 1] * v.powers[1 : n + 1]
@@ -161,14 +164,25 @@ class Lattice:
                 log[lost, 0] = v.byte_log * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))
                 on[lost, 0] = True
             log += beta[:, i + 1 : i + n + 1]
-            most = log.max(1, keepdims=True)
-            e = np.exp(log - most)
-            whole = e.sum(1, keepdims=True)
-            beta[:, i] = (most + np.log(whole))[:, 0]
-            totals = np.cumsum(e / whole, 1)
+            shift = log[:, :1].copy()  # of the edge of one character, which is always there
+            e = np.exp(log - shift)
+            totals = np.cumsum(e, 1)
+            whole = totals[:, -1:]
+            beta[:, i] = (shift + np.log(whole))[:, 0]
+            # the likeliest edge comes first, so most draws end there; the others follow by width
+            best = e.argmax(1)
+            e_best = e[np.arange(len(e)), best][:, None]
+            ahead = np.arange(n)[None] < best[:, None]
+            totals = np.where(ahead, totals + e_best, totals)
+            totals[np.arange(len(e)), best] = e_best[:, 0]
+            totals /= whole
             rows, width = np.nonzero(on)
-            degree[start + i] = on.sum(1)
-            for column, value in zip(out, (start[rows] + i, piece[rows, width], width + 1, (log - beta[:, i : i + 1])[rows, width], totals[rows, width]), strict=True):
+            held = on.sum(1)
+            degree[start + i] = held
+            rank = (np.arange(len(rows)) - (np.cumsum(held) - held)[rows]).astype(np.int32) + ahead[on]
+            rank[width == best[rows]] = 0
+            log -= beta[:, i : i + 1]
+            for column, value in zip(out, (start[rows] + np.int32(i), rank, piece[on], (width + 1).astype(np.int32), log[on], totals[on]), strict=True):
                 column.append(value)
         return tuple(np.concatenate(x) for x in out)
 
@@ -176,25 +190,26 @@ class Lattice:
         """Paths from nodes to the ends of their words: all their edges, and the number of edges of each."""
         counts = np.zeros(len(node), np.int64)
         steps = []
-        at = np.flatnonzero(node < end)
-        node = node.copy()
+        at = np.flatnonzero(node < end).astype(np.int32)
+        here, end, seeds = node[at], end[at], seeds[at]
         step = 0
         while len(at):
-            here = node[at]
-            u = uniform(seeds[at] + np.uint64(step))
+            u = uniform(seeds + np.uint64(step))
             e = self.first[here]
             last = self.first[here + 1] - 1
             more = np.flatnonzero((u > self.total[e]) & (e < last))
             while len(more):
                 e[more] += 1
-                more = more[(u[more] > self.total[e[more]]) & (e[more] < last[more])]
+                now = e[more]
+                more = more[(u[more] > self.total[now]) & (now < last[more])]
             steps.append((at, e))
-            counts[at] += 1
-            node[at] = here + self.width[e]
-            at = at[node[at] < end[at]]
+            here = here + self.width[e]
+            on = here < end
+            counts[at] = step + 1
+            at, here, end, seeds = at[on], here[on], end[on], seeds[on]
             step += 1
         offset = np.cumsum(counts) - counts
-        edges = np.empty(int(counts.sum()), np.int64)
+        edges = np.empty(int(counts.sum()), np.int32)
         for k, (at, e) in enumerate(steps):
             edges[offset[at] + k] = e
         return edges, counts
@@ -213,7 +228,7 @@ class Search:
         """Keep a drawn path and the sets at its nodes from the edge number fresh on; before: log-probability up to it."""
         logs = lattice.log[edges]
         self.paths.append((edges, counts, before + float(logs[fresh:].sum())))
-        n = 256
+        n = 640
         while True:
             ahead = before + np.concatenate([[0.0], np.cumsum(logs[fresh : fresh + n])])
             if len(ahead) <= n or ahead[-1] < CUTOFF:
@@ -224,7 +239,8 @@ class Search:
             mass = ahead[at] + np.log(-np.expm1(logs[fresh + at]))
             noise = np.log(-np.log(uniform(self.seed + np.uint64(self.made + 1 << 20) + at.astype(np.uint64))))
             values = mass - np.logaddexp(mass - value, noise)
-            for j in np.argsort(-values, kind="stable")[: k + 1].tolist():
+            top = np.argpartition(values, len(values) - k - 1)[len(values) - k - 1 :] if len(values) > k + 1 else np.arange(len(values))
+            for j in top.tolist():
                 p = int(at[j])
                 heapq.heappush(self.closed, (-float(values[j]), len(self.paths) - 1, fresh + p, self.made, float(ahead[p]), (int(edges[fresh + p]),)))
         self.made += 1
@@ -251,15 +267,20 @@ class Search:
 
 def sample(keys: list[int | None], texts: list[str | None], vocabulary: Vocabulary, k: int = SAMPLES) -> list[list[tuple[np.ndarray, float, float]]]:
     """For each text its samples in order: (ids, log-probability, inclusion score)."""
-    split = []
-    for text in texts:
-        marked = (text or "").replace(" ", SPACE)
-        split.append([] if not marked else [w[1:] for w in _RUNS.findall(SPACE + marked)] if SPACE * 2 in SPACE + marked else marked.split(SPACE))
-    known = dict.fromkeys(chain.from_iterable(split))
-    lattice = Lattice(list(known), vocabulary)
-    known.update(zip(known, range(len(known)), strict=True))
+    plain = [(t or "").replace(SPACE, " ") for t in texts]
+    runs = {i: [w[1:] for w in _RUNS.findall((SPACE + t.replace(" ", SPACE)))] for i, t in enumerate(plain) if t[:1] == " " or "  " in t}
+    lists = pc.split_pattern(pa.array([None if i in runs or not t else t for i, t in enumerate(plain)], pa.large_string()), " ")
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    extra = [w for words in runs.values() for w in words]
+    coded = pa.concat_arrays([lists.flatten(), pa.array(extra, pa.large_string())]).dictionary_encode()
+    lattice = Lattice(coded.dictionary.to_pylist(), vocabulary)
+    numbers, ends = coded.indices.to_numpy(), np.cumsum(sizes)
+    at, where = int(ends[-1]) if len(ends) else 0, {}
+    for i, words in runs.items():
+        where[i] = (at, at + len(words))
+        at += len(words)
     seeds = mixed(np.array([(x or 0) % (1 << 64) for x in keys], np.uint64) * _BASE + np.uint64(1)).tolist()
-    searches = [Search(seed, np.fromiter(map(known.__getitem__, words), np.int64, len(words))) for seed, words in zip(seeds, split, strict=True)]
+    searches = [Search(seed, numbers[slice(*where.get(i, (end - n, end)))]) for i, (seed, n, end) in enumerate(zip(seeds, sizes.tolist(), ends.tolist(), strict=True))]
     active = [s for s in searches if len(s.words)]
     opened: list[tuple | None] = [None] * len(active)
     for turn in range(k):
@@ -272,7 +293,7 @@ def sample(keys: list[int | None], texts: list[str | None], vocabulary: Vocabula
         for s, o in zip(active, opened, strict=True):
             first = 0
             if o:  # the word of the place where the path parts from that of the set
-                first = int(np.searchsorted(np.cumsum(s.paths[o[1]][1]), o[2], side="right"))
+                first = int(np.searchsorted(np.cumsum(s.paths[o[1]][1][: o[2] + 1]), o[2], side="right"))
             node = lattice.start[s.words[first:]]
             if o:
                 node[0] = lattice.node[o[3]] + lattice.width[o[3]]
@@ -295,7 +316,7 @@ def sample(keys: list[int | None], texts: list[str | None], vocabulary: Vocabula
                 old, old_counts, _ = s.paths[path]
                 own = own.copy()
                 own[0] += 1 + place - int(old_counts[:first].sum())
-                s.add(lattice, np.concatenate([old[:place], [edge], tail]), np.concatenate([old_counts[:first], own]), value, place + 1, before, k)
+                s.add(lattice, np.concatenate([old[:place], np.array([edge], np.int32), tail]), np.concatenate([old_counts[:first], own]), value, place + 1, before, k)
     return [_results(s, lattice, vocabulary) for s in searches]
 
 
@@ -326,21 +347,30 @@ def segmentations(docs: DataFrame, file: str, key: str = "doc_id", text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(file)
+        keys: list[int | None] = []
+        texts: list[str | None] = []
+        chars = 0
+
+        def drawn() -> pa.RecordBatch:
+            found = sample(keys, texts, v, k)
+            rows = [(d, i + 1, len(ids), log, share, zlib.crc32(ids.tobytes()), ids) for d, samples in zip(keys, found, strict=True) for i, (ids, log, share) in enumerate(samples)]
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.int32()))
+            names = ["key", "sample", "n_pieces", "log_prob", "inclusion", "ids_crc32", "ids"][: 6 + with_ids]
+            columns = zip(names, zip(*rows, strict=True), kinds, strict=False)
+            return pa.RecordBatch.from_arrays([pa.array([x.astype(np.int32) for x in c] if n == "ids" else c, t) for n, c, t in columns], names)
+
         for batch in batches:
-            keys, texts = (c.to_pylist() for c in batch.columns)
-            at = 0
-            while at < len(keys):
-                end, chars = at, 0
-                while end < len(keys) and (end == at or chars + len(texts[end] or "") <= CHUNK_CHARS):
-                    chars += len(texts[end] or "")
-                    end += 1
-                found = sample(keys[at:end], texts[at:end], v, k)
-                rows = [(d, i + 1, len(ids), log, share, zlib.crc32(ids.tobytes()), ids) for d, samples in zip(keys[at:end], found, strict=True) for i, (ids, log, share) in enumerate(samples)]
-                columns = list(zip(*rows, strict=True)) or [()] * 7
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.int32()))
-                names = ["key", "sample", "n_pieces", "log_prob", "inclusion", "ids_crc32", "ids"][: 6 + with_ids]
-                yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.int32) for x in c] if n == "ids" else c, t) for n, c, t in zip(names, columns, kinds, strict=False)], names)
-                at = end
+            for d, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if keys and chars + len(text or "") > CHUNK_CHARS:
+                    yield drawn()
+                    keys.clear()
+                    texts.clear()
+                    chars = 0
+                keys.append(d)
+                texts.append(text)
+                chars += len(text or "")
+        if keys:
+            yield drawn()
 
     schema = "key long, sample int, n_pieces long, log_prob double, inclusion double, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, schema).withColumnRenamed("key", key)
+    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(tidy(run), schema).withColumnRenamed("key", key)
