@@ -97,3 +97,20 @@ def test_screens_turn_back(spark):
     r = df.select("*", rasters.stored(F.col("rows")).alias("back")).first()
     assert bytes(r.back) == raw
     assert bytes.fromhex(r.rows)[32:64] == raw[256:288]
+
+
+def test_layouts(spark):
+    from tapeloom.operators import layouts
+    from tapeloom.sources.disks import SECTORS
+
+    pattern = bytearray(1024)
+    pattern[16:20] = bytes([0x11, 0xAC, 0x2F, 0x40])  # row 1, channel 0: sample 0x12, period 0x1AC, effect F, parameter 0x40
+    rows = layouts.notes(spark.createDataFrame([(1, pattern)], "k int, p binary"), ["k"], "p")
+    assert rows.count() == 256
+    hit = rows.filter("period > 0").collect()
+    assert [(r["row"], r.channel, r["sample"], r.period, r.effect, r.parameter) for r in hit] == [(1, 0, 0x12, 0x1AC, 15, 0x40)]
+    at = spark.createDataFrame([(0,), (20,), (21,), (357,), (682,), (683,), (-1,)], "b long").select(layouts.address(F.col("b"), SECTORS).alias("a")).collect()
+    assert [r.a and tuple(r.a) for r in at] == [(1, 0), (1, 20), (2, 0), (18, 0), (35, 16), None, None]
+    files = spark.createDataFrame([("a", "p"), ("a", "c"), ("a", "c"), ("b", "p")], "s string, role string")
+    found = {r.s: (r.files, r.missing, r.repeated) for r in layouts.sets(files, ["s"], "role", ["p", "c", "v"]).collect()}
+    assert found == {"a": (3, "v", "c"), "b": (1, "c,v", "")}
