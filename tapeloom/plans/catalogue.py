@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeloom.functions import basic, codecs
 from tapeloom.functions import binary as B
-from tapeloom.functions import codecs
 from tapeloom.operators import audit, chains, choices, layouts, rasters, sequences
 from tapeloom.sources import disks, headers, streams
 
@@ -467,3 +467,13 @@ def pulse_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """When each pulse of a tape starts, in cycles; a pulse is stored as an eighth of its cycles."""
     pulses = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", (8 * F.floor(F.abs("value"))).alias("cycles"))
     return sequences.running_start(pulses, ["user_id"], ["ts", "event_id"], F.col("cycles"), "cycle").select("event_id", F.col("cycle").cast("long").alias("cycle"))
+
+
+@query("SELECT conv_id, turn, md5(coalesce(text, '')) AS listed_md5 FROM conversations WHERE ascii(coalesce(text, '')) < 128 AND NOT regexp_matches(coalesce(text, ''), '[^\\x00-\\x7F]') AND NOT contains(coalesce(text, ''), '?')")
+def program_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of plain characters as lines of a program, stored and listed again."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    plain = turns.filter(~F.col("text").rlike("[^\\x00-\\x7F]") & ~F.col("text").contains("?"))
+    lines = basic.stored(plain, ["conv_id"], "turn", "text")
+    body = F.expr("substring(line, 5, octet_length(line) - 5)")
+    return lines.select("conv_id", "turn", F.md5(basic.listed_of(body)).alias("listed_md5"))
