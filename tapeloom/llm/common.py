@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import tempfile
 import uuid
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: Upper bounds of one Arrow batch sent to a Python worker.
 BATCH_ROWS = 4096
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 CHUNK = 1000
 
 
@@ -34,6 +35,21 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def tidy(run):
+    """run, but what its task has freed goes back to the system: workers live on and would keep it."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return inner
+
+
 def written(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: the lineage ends there."""
     spark = df.sparkSession

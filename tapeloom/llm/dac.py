@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, totals_before, written
+from .common import bounded_batches, tidy, totals_before, written
 from .tokens import encoder
 
 MAGIC = b"DAC1"
@@ -158,10 +158,11 @@ def write(docs: DataFrame, file: str, to: str, key: str = "doc_id", text: str =
                 if size >= SEGMENT_IDS:
                     yield segment()
                     number, before, held, size = number + 1, before + size, [], 0
+        encoder(file).forget()
         if held:
             yield segment()
 
-    rows.mapInArrow(run, "part int, number int, before long, n_ids long, segment binary").write.parquet(to)
+    rows.mapInArrow(tidy(run), "part int, number int, before long, n_ids long, segment binary").write.parquet(to)
 
 
 def read(spark: SparkSession, at: str, key: str = "doc_id", with_ids: bool = False) -> DataFrame:
@@ -185,4 +186,4 @@ def read(spark: SparkSession, at: str, key: str = "doc_id", with_ids: bool = Fal
                     columns.append(pa.array([flat[a:b].tobytes() for a, b in cuts], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, ["key", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
 
-    return placed.mapInArrow(run, "key long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids).withColumnRenamed("key", key)
+    return placed.mapInArrow(tidy(run), "key long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids).withColumnRenamed("key", key)

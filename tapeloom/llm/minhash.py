@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, connected, groups, written
+from .common import bounded_batches, connected, groups, tidy, written
 
 #: Coordinates: bands times rows. At a similarity of 0.85 a pair shares no band with probability 8e-7, at 0.8 with 5e-5.
 BANDS, ROWS = 24, 5
@@ -189,7 +189,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
-    sketches = written(rows.mapInArrow(_sketches(width), "id long, n_shingles long, digest binary, bands array<long>"), "sketches")
+    sketches = written(rows.mapInArrow(tidy(_sketches(width)), "id long, n_shingles long, digest binary, bands array<long>"), "sketches")
     known = sketches.filter("id is not null and digest is not null")
     # n copies leave each task as one row; the bands of one member stand for all, as equal sets have equal signatures
     classes = written(known.groupBy("digest").agg(F.min("id").alias("id"), F.min_by("bands", "id").alias("bands")), "classes")
@@ -205,14 +205,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     # full sets of the classes in candidate groups only, made again from their texts
     n = candidates.count()
     texts = rows.join(F.broadcast(candidates) if n <= BROADCAST_IDS else candidates, "id")
-    sets = texts.select("id", "component", "blocks", "block", "text").mapInArrow(_sets(width), "id long, component long, blocks int, block int, marks binary")
+    sets = texts.select("id", "component", "blocks", "block", "text").mapInArrow(tidy(_sets(width)), "id long, component long, blocks int, block int, marks binary")
     if classes.groupBy("id").count().filter("count > 1").limit(1).count():  # rows of one id with different texts
         sets = sets.distinct()
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = sets.select("component", "id", "marks", "block", others).select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "marks")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 20_000)
     dealt = dealt.repartition(parts, "component", "i", "j").sortWithinPartitions("component", "i", "j")
-    links = connected(dealt.mapInArrow(_compare(percent), "a long, b long"))
+    links = connected(dealt.mapInArrow(tidy(_compare(percent)), "a long, b long"))
 
     reached = classes.select("digest", "id").join(links, "id", "left").select("digest", F.coalesce("component", "id").alias("class_component"))
     named = sketches.select("id", "n_shingles", "digest").join(reached, "digest", "left")

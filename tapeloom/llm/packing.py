@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, totals_before, written
+from .common import bounded_batches, tidy, totals_before, written
 from .tokens import encoder
 
 LENGTH = 1024
@@ -121,11 +121,12 @@ def tokenised(docs: DataFrame, file: str, key: str, text: str, source: str, end_
                 n.append(len(raw) // 4)
                 seen[q] = at[-1] + n[-1]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([part] * len(n), pa.int32()), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["key", "queue", "part", "at", "n", "ids"])
+        encoder(file).forget()
 
     few = docs.select(source).distinct().limit(MAX_QUEUES + 1).count() <= MAX_QUEUES
     queue = F.col(source).cast("string") if few else F.pmod(F.xxhash64(source), F.lit(MAX_QUEUES)).cast("string")
     rows = docs.select(F.col(key).cast("long").alias("key"), queue.alias("queue"), F.col(text).alias("text"))
-    return written(rows.mapInArrow(run, "key long, queue string, part int, at long, n long, ids binary"), "tokens")
+    return written(rows.mapInArrow(tidy(run), "key long, queue string, part int, at long, n long, ids binary"), "tokens")
 
 
 def pack(docs: DataFrame, file: str, key: str = "doc_id", text: str = "text", source: str = "source", end_id: int = 0, length: int = LENGTH, window_sequences: int = WINDOW_SEQUENCES, weights: dict[str, int] | None = None, with_ids: bool = False) -> DataFrame:
@@ -166,4 +167,4 @@ def pack(docs: DataFrame, file: str, key: str = "doc_id", text: str = "text", so
 
     names_out = ["key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue", "ids"][: 8 + with_ids]
     schema = "key long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string" + ", ids binary" * with_ids
-    return placed.mapInArrow(cut, schema).withColumnRenamed("key", key)
+    return placed.mapInArrow(tidy(cut), schema).withColumnRenamed("key", key)

@@ -21,8 +21,8 @@ import pyarrow.compute as pc
 #: Marks after a word, in front of which both vocabularies split.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Most pieces, and bytes, that a memo holds.
-MEMO = 600_000
-MEMO_BYTES = 64 << 20
+MEMO = 250_000
+MEMO_BYTES = 24 << 20
 WORDS_AT_ONCE = 8192
 
 
@@ -71,9 +71,13 @@ class Encoder:
         (self.mark_id,) = self.library.encode(self.mark, add_special_tokens=False).ids
         self.line_end = self.whole(["\n"])[0]
         self.lead = " " if self.spaced else ""
+        self.tails: dict[str, bytes] = {"": b""}
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the memos; a task does so at its end, as its worker lives on."""
         self.pieces = {lead: Memo() for lead in {self.lead, ""}}
         self.words = {lead: Memo() for lead in {self.lead, ""}}
-        self.tails: dict[str, bytes] = {"": b""}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
