@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, connected, groups, tidy, written
 
-#: Coordinates: bands times rows. At a similarity of 0.85 a pair shares no band with probability 8e-7, at 0.8 with 5e-5.
-BANDS, ROWS = 24, 5
+#: Coordinates: bands times rows. At a similarity of 0.85 a pair shares no band with probability 2e-8, at 0.8 with 7e-6.
+BANDS, ROWS = 30, 5
 UNIVERSE = 1 << 21
 SEED = 20240229
 BLOCK = 384
