@@ -138,7 +138,7 @@ class LineCrf:
         return best[::-1]
 
     @classmethod
-    def fit(cls, sequences: list[tuple[int, list[list[int]]]], rounds: int = 200, rate: float = 0.1, decay: float = 1e-3) -> LineCrf:
+    def fit(cls, sequences: list[tuple[int, list[list[int]]]], rounds: int = 100, rate: float = 0.1, decay: float = 1e-3) -> LineCrf:
         """Maximum likelihood by Adam over all sequences at once; a sequence is the state of its lines and their features."""
         if len({y for y, _ in sequences}) < 2:
             return cls()
