@@ -11,8 +11,8 @@ from tapeloom.plans.staging import staged
 def walk(links: DataFrame, keys: list[str], node: str, following: str) -> DataFrame:
     """(keys, node, steps, loops) for each block: blocks after it to the end of its chain, or whether the chain loops.
 
-    links has one row for each block (repeated rows of a block are dropped but one), following null at an end (or naming a block that isn't there). Pointers double
-    in each round, so chains of n blocks take log2(n) rounds of one join, and a chain that still goes on after as many
+    links has one row for each block (of repeated rows one counts), following null at an end, or naming a block that
+    isn't there. Pointers double in each round, so chains of n blocks take log2(n) rounds of one join, and a chain that still goes on after as many
     steps as there are blocks loops. Nothing is walked block by block, and no task holds a file."""
     here = links.groupBy(*keys, F.col(node).alias("node")).agg(F.min(following).alias("to"))
     there = here.select(*keys, F.col("node").alias("to"), F.lit(True).alias("known"))

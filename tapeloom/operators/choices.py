@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +39,3 @@ def pairs(files: DataFrame, keys: list[str], index: str, value: str) -> DataFram
     first = files.filter(F.col(index) % 2 == 1).select(*keys, F.col(index), F.col(value).alias("even"))
     second = files.filter(F.col(index) % 2 == 0).select(*keys, (F.col(index) - 1).alias(index), F.col(value).alias("odd"))
     return first.join(second, [*keys, index])
-
-
-def either(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
