@@ -47,7 +47,7 @@ def pii_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences, all windows at the mixture of sources of what is left."""
-    return packing.pack(docs, path("byte_bpe_50k.json"))
+    return packing.pack(docs, path("byte_bpe_50k.json"), memo=200_000)  # the workers also hold what earlier stages left
 
 
 STAGES = [

@@ -38,6 +38,8 @@ BLOCK = 512
 SEGMENT_IDS = 1 << 18
 #: Up to so many parts' starts are broadcast (12 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: Pieces of text whose ids a worker keeps at most.
+MEMO = 600_000
 NULL_ID = -(1 << 63)
 
 
@@ -152,13 +154,12 @@ def write(docs: DataFrame, file: str, to: str, key: str = "doc_id", text: str =
 
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            for d, raw in zip(keys, encoder(file).encode(batch.column(1).to_pylist()), strict=True):
+            for d, raw in zip(keys, encoder(file, MEMO).encode(batch.column(1).to_pylist()), strict=True):
                 held.append((d, np.concatenate([np.frombuffer(raw, "<u4"), end])))
                 size += len(held[-1][1])
                 if size >= SEGMENT_IDS:
                     yield segment()
                     number, before, held, size = number + 1, before + size, [], 0
-        encoder(file).forget()
         if held:
             yield segment()
 

@@ -35,6 +35,8 @@ WINDOW_SEQUENCES = 256
 MAX_QUEUES = 1024
 #: Up to so many (partition, queue) totals are broadcast (24 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: Pieces of text whose ids a worker keeps at most (100 bytes each); fewer cost time, not results.
+MEMO = 600_000
 
 
 class Mixture:
@@ -103,7 +105,7 @@ class Windows:
                 done += n
 
 
-def tokenised(docs: DataFrame, file: str, key: str, text: str, source: str, end_id: int) -> DataFrame:
+def tokenised(docs: DataFrame, file: str, key: str, text: str, source: str, end_id: int, memo: int = MEMO) -> DataFrame:
     """(key, queue, part, at, n, ids): ids in chunks of a partition's rows, at counts the tokens before in the part's queue.
 
     part is the number of the partition, which makes up the order of a queue's documents together with at."""
@@ -111,7 +113,7 @@ def tokenised(docs: DataFrame, file: str, key: str, text: str, source: str, end_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, seen, encode = TaskContext.get().partitionId(), {}, encoder(file).encode
+        part, seen, encode = TaskContext.get().partitionId(), {}, encoder(file, memo).encode
         end = end_id.to_bytes(4, "little")
         for batch in batches:
             queues, at, n = batch.column(1).to_pylist(), [], []
@@ -121,7 +123,6 @@ def tokenised(docs: DataFrame, file: str, key: str, text: str, source: str, end_
                 n.append(len(raw) // 4)
                 seen[q] = at[-1] + n[-1]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([part] * len(n), pa.int32()), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["key", "queue", "part", "at", "n", "ids"])
-        encoder(file).forget()
 
     few = docs.select(source).distinct().limit(MAX_QUEUES + 1).count() <= MAX_QUEUES
     queue = F.col(source).cast("string") if few else F.pmod(F.xxhash64(source), F.lit(MAX_QUEUES)).cast("string")
@@ -129,13 +130,13 @@ def tokenised(docs: DataFrame, file: str, key: str, text: str, source: str, end_
     return written(rows.mapInArrow(tidy(run), "key long, queue string, part int, at long, n long, ids binary"), "tokens")
 
 
-def pack(docs: DataFrame, file: str, key: str = "doc_id", text: str = "text", source: str = "source", end_id: int = 0, length: int = LENGTH, window_sequences: int = WINDOW_SEQUENCES, weights: dict[str, int] | None = None, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, file: str, key: str = "doc_id", text: str = "text", source: str = "source", end_id: int = 0, length: int = LENGTH, window_sequences: int = WINDOW_SEQUENCES, weights: dict[str, int] | None = None, with_ids: bool = False, memo: int = MEMO) -> DataFrame:
     """A row for each piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue (and ids, as 32-bit integers).
 
     weights gives queues positive whole weights; queues without one are served last, when all others have run dry."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    tokens = tokenised(docs, file, key, text, source, end_id)
+    tokens = tokenised(docs, file, key, text, source, end_id, memo)
     parts = written(tokens.groupBy("queue", "part").agg(F.sum("n").alias("tokens")), "parts")
     totals = sorted((r.queue is not None, r.queue or "", r.tokens) for r in parts.groupBy("queue").agg(F.sum("tokens").alias("tokens")).collect())  # MAX_QUEUES rows at most, and one
     names = [q if known else None for known, q, _ in totals]

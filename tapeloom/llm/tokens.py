@@ -20,9 +20,9 @@ import pyarrow.compute as pc
 
 #: Marks after a word, in front of which both vocabularies split.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Most pieces, and bytes, that a memo holds.
+#: Most pieces that a memo holds, and most bytes of each on average.
 MEMO = 250_000
-MEMO_BYTES = 24 << 20
+PIECE_BYTES = 100
 WORDS_AT_ONCE = 8192
 
 
@@ -36,13 +36,14 @@ def path(name: str) -> str:
 class Memo:
     """Ids of pieces; emptied when it grows beyond its bounds. A piece with null ids is one that isn't encoded alone."""
 
-    def __init__(self) -> None:
+    def __init__(self, most: int) -> None:
+        self.most = most
         self.keys, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
 
     def get(self, pieces: pa.Array, encode) -> pa.Array:
         """The ids of distinct pieces; encode makes those of new ones."""
-        if len(self.keys) > MEMO or self.keys.nbytes + self.ids.nbytes > MEMO_BYTES:
-            self.__init__()
+        if len(self.keys) > self.most or self.keys.nbytes + self.ids.nbytes > self.most * PIECE_BYTES:
+            self.__init__(self.most)
         at = pc.index_in(pieces, value_set=self.keys)
         new = pc.is_null(at)
         if pc.any(new).as_py():
@@ -59,7 +60,7 @@ class Memo:
 class Encoder:
     """ids of texts as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, file: str) -> None:
+    def __init__(self, file: str, most: int = MEMO) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -72,12 +73,8 @@ class Encoder:
         self.line_end = self.whole(["\n"])[0]
         self.lead = " " if self.spaced else ""
         self.tails: dict[str, bytes] = {"": b""}
-        self.forget()
-
-    def forget(self) -> None:
-        """Empty the memos; a task does so at its end, as its worker lives on."""
-        self.pieces = {lead: Memo() for lead in {self.lead, ""}}
-        self.words = {lead: Memo() for lead in {self.lead, ""}}
+        self.pieces = {lead: Memo(most) for lead in {self.lead, ""}}
+        self.words = {lead: Memo(most) for lead in {self.lead, ""}}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -169,6 +166,6 @@ class Encoder:
 
 
 @cache
-def encoder(file: str) -> Encoder:
-    """One encoder for each file in a Python worker."""
-    return Encoder(file)
+def encoder(file: str, most: int = MEMO) -> Encoder:
+    """One encoder for each file and size of memo in a Python worker."""
+    return Encoder(file, most)
