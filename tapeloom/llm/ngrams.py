@@ -1,7 +1,8 @@
 """LM scoring: stupid-backoff bigram scores from the whole corpus, by joins of n-gram tables.
 
-The vocabulary holds the words with the highest counts, at most VOCABULARY of them (all words of a count or none);
-other words are one unknown word. A word's score given the word before is count(pair) / count(word before) if the pair
+Every word has its own count. The words with the highest counts, at most VOCABULARY of them (all words of a count or
+none), are numbered and broadcast; all others are rare words, which stand for themselves as hashes of 62 bits. A
+caller's own limit makes a closed vocabulary instead, in which all other words are one unknown word. A word's score given the word before is count(pair) / count(word before) if the pair
 stands in the corpus more often than in the scored document itself, and BACKOFF * count(word) / words of the corpus if
 not, so a text doesn't vouch for itself. A document's score is the sum of the logarithms; its first word has no word
 before it and no penalty.
@@ -13,6 +14,11 @@ counts, one number for each key and task, so a pair that stands in every documen
 exploded rows of a bucket are joined to its counts as a stream, in as many parts as their number asks for; a joined row
 gives a sum for each of its documents, and these are added up by the group of documents they came from.
 
+Pairs with a rare word (or that start a text with one) go to the bucket of that word's hash, those of two rare words to
+both. All that a word's counts and those of its pairs take is then in its bucket: its own count is the number of times
+that it comes second or first in a text. The bucket of a pair's first word adds the scores of pairs seen elsewhere, that
+of the second the others. A rare word stands less often than any numbered word, so no bucket gets a heavy one.
+
 Defined cases: a null or empty text has no words, log_score 0 and a null mean_log. Repeated rows are scored each. An
 empty table gives no rows. Words are split at ASCII white space, and ASCII letters made small.
 """
@@ -27,10 +33,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, groups, written
+from .common import bounded_batches, groups, tidy, written
 
 BACKOFF = 0.4
-#: Most words in the vocabulary, which is broadcast (16 bytes each).
+#: Most words that are numbered and broadcast (16 bytes each); rare words are joined.
 WORD_BITS = 18
 VOCABULARY = (1 << WORD_BITS) - 1
 KEY_BITS = 2 * WORD_BITS
@@ -40,6 +46,11 @@ CHUNK_WORDS = 4_000_000
 CHUNK_DOCS = 1 << 16
 #: Rows of a bucket that are joined to one copy of its counts.
 JOIN_ROWS = 64
+#: Hashes of words have this bit, numbers of words don't.
+RARE = 1 << 62
+#: Buckets of what is known of documents, and the first (they go down) of pairs with a rare word; pairs of such a bucket.
+ABOUT, ODD = -1, -2
+ODD_PAIRS = 1_000_000
 _SPREAD = 0x9E3779B97F4A7C15 % (1 << KEY_BITS) | 1
 _BACK = pow(_SPREAD, -1, 1 << KEY_BITS)
 _MASK = np.uint64((1 << KEY_BITS) - 1)
@@ -76,30 +87,34 @@ def words_of(raw: bytes | None) -> list[bytes]:
     return (raw or b"").lower().split()
 
 
+def word_hash(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word) & (RARE - 1) | RARE
+
+
 class Hashes(dict):
-    """Signed 64-bit hashes of words; emptied when it grows beyond a bound."""
+    """Hashes of words; emptied when it grows beyond a bound."""
 
     LIMIT = 300_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
             self.clear()
-        h = self[word] = int(np.uint64(xxhash.xxh3_64_intdigest(word)).astype(np.int64))
+        h = self[word] = word_hash(word)
         return h
 
 
 class Numbers(Hashes):
-    """Vocabulary numbers of words; 0 is the unknown word."""
+    """Vocabulary numbers of words; others have their hash, or 0 in a closed vocabulary."""
 
-    def __init__(self, hashes: np.ndarray) -> None:
-        self.hashes = hashes
+    def __init__(self, hashes: np.ndarray, closed: bool) -> None:
+        self.hashes, self.closed = hashes, closed
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
             self.clear()
-        h = np.uint64(xxhash.xxh3_64_intdigest(word)).astype(np.int64)
+        h = word_hash(word)
         at = int(np.searchsorted(self.hashes, h))
-        n = self[word] = at + 1 if at < len(self.hashes) and self.hashes[at] == h else 0
+        n = self[word] = at + 1 if at < len(self.hashes) and self.hashes[at] == h else 0 if self.closed else h
         return n
 
 
@@ -126,7 +141,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def vocabulary(rows: DataFrame, limit: int = VOCABULARY) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sorted hashes of the vocabulary, the counts of the unknown word and of these, and the number of words of the corpus."""
+    """Sorted hashes of the vocabulary, the counts of all other words together and of these, and the number of words of the corpus."""
     counts = written(rows.mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     # how many words have a count: few distinct counts up to 1000, then a step of a hundredth of the count
     step = F.when(F.col("n") <= 1000, F.col("n")).otherwise(F.floor(F.pow(F.lit(1.01), F.floor(F.log(1.01, F.col("n").cast("double"))))))
@@ -145,14 +160,25 @@ def vocabulary(rows: DataFrame, limit: int = VOCABULARY) -> tuple[np.ndarray, np
     return words[order], np.concatenate([[total - int(n.sum())], n[order]]), total
 
 
-def _explode(shared, buckets: int):
+def _repeats(key: np.ndarray, other: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each row once, in order, and its number of times."""
+    order = np.lexsort((doc, other, key))
+    key, other, doc = key[order], other[order], doc[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (other[1:] != other[:-1]) | (doc[1:] != doc[:-1])
+    at = np.flatnonzero(new)
+    return key[at], other[at], doc[at], np.diff(at, append=len(key))
+
+
+def _explode(shared, buckets: int, odd_buckets: int, closed: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         hashes, counts, total = shared.value
-        numbers, part = Numbers(hashes), TaskContext.get().partitionId() << 24
+        numbers, part = Numbers(hashes, closed), TaskContext.get().partitionId() << 24
         logs = np.log(np.maximum(counts, 1)) - np.log(max(1, total))
         edges = np.array([-(-(b << KEY_BITS) // buckets) for b in range(buckets + 1)], np.uint64)
+        odd_edges = np.array([RARE + -(-(b * RARE) // odd_buckets) << 1 for b in range(odd_buckets)], np.uint64)
         ids: list[int | None] = []
         texts: list[np.ndarray] = []
         n = 0
@@ -162,13 +188,25 @@ def _explode(shared, buckets: int):
             flat = np.concatenate(texts)
             doc = np.repeat(np.arange(len(texts), dtype=np.uint64), sizes)
             inside = doc[1:] == doc[:-1] if len(doc) else np.empty(0, bool)
-            key = spread(flat[:-1] << np.uint64(WORD_BITS) | flat[1:])[inside]
-            pairs, times = np.unique(key << np.uint64(16) | doc[1:][inside], return_counts=True)
+            before, after, where = flat[:-1][inside], flat[1:][inside], doc[1:][inside]
+            odd = (before >= RARE) | (after >= RARE)
+            starts = np.array([i for i, x in enumerate(texts) if len(x) and x[0] >= RARE], np.uint64)
+            heads = np.array([texts[int(i)][0] for i in starts], np.uint64)
+            one, two, place = np.concatenate([np.zeros(len(starts), np.uint64), before[odd]]), np.concatenate([heads, after[odd]]), np.concatenate([starts, where[odd]])
+            first, second = one >= RARE, two >= RARE
+            key = spread(before[~odd] << np.uint64(WORD_BITS) | after[~odd])
+            pairs, times = np.unique(key << np.uint64(16) | where[~odd], return_counts=True)
             keys, docs = pairs >> np.uint64(16), (pairs & np.uint64(0xFFFF)).astype("<u2")
             cuts = np.searchsorted(keys, edges)
-            firsts = np.array([logs[x[0]] if len(x) else 0.0 for x in texts])
+            firsts = np.array([logs[x[0]] if len(x) and x[0] < RARE else 0.0 for x in texts])
             about = b"".join((np.array([d or 0 for d in ids], "<i8").tobytes(), np.array([d is None for d in ids], np.uint8).tobytes(), sizes.tobytes(), firsts.tobytes()))
-            out: list[tuple] = [(part, -1, len(texts), about, None, None, None)]
+            out: list[tuple] = [(part, ABOUT, len(texts), about, None, None, None)]
+            # the lowest bit of a key tells that its word is the first of the pair
+            word, other, d, times_odd = _repeats(np.concatenate([two[second] << np.uint64(1), one[first] << np.uint64(1) | np.uint64(1)]), np.concatenate([one[second], two[first]]), np.concatenate([place[second], place[first]]))
+            odd_cuts = [*np.searchsorted(word, odd_edges).tolist(), len(word)]
+            for b, (lo, hi) in enumerate(zip(odd_cuts, odd_cuts[1:], strict=False)):
+                if lo < hi:
+                    out.append((part, ODD - b, len(texts), rising(word[lo:hi]), planes(other[lo:hi]), planes(d[lo:hi].astype("<u2")), planes(times_odd[lo:hi].astype("<u4"))))
             for b in range(buckets):
                 lo, hi = int(cuts[b]), int(cuts[b + 1])
                 if lo < hi:
@@ -238,6 +276,42 @@ def _score(shared):
     return run
 
 
+def _score_odd(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, counts, total = shared.value
+        logs = np.log(np.maximum(counts, 1))
+        base = np.log(max(1, total))
+        for rows in groups(batches, ["bucket"]):
+            parts, docs = rows.column("part").to_pylist(), rows.column("docs").to_pylist()
+            keys = [unrising(x.as_py()) for x in rows.column("keys")]
+            cuts = np.cumsum([0, *map(len, keys)])
+            key = np.concatenate(keys)
+            other = np.concatenate([unplanes(x.as_py(), "<u8") for x in rows.column("held")])
+            doc = np.concatenate([unplanes(x.as_py(), "<u2") for x in rows.column("doc")])
+            times = np.concatenate([unplanes(x.as_py(), "<u4") for x in rows.column("times")]).astype(np.int64)
+            del keys, rows
+            order = np.lexsort((other, key))
+            new = np.ones(len(key), bool)
+            new[1:] = (key[order][1:] != key[order][:-1]) | (other[order][1:] != other[order][:-1])
+            at = np.flatnonzero(new)
+            pair = np.empty(len(key), np.int64)
+            pair[order] = np.repeat(np.add.reduceat(times[order], at), np.diff(at, append=len(key)))
+            words, which = np.unique(key >> np.uint64(1), return_inverse=True)
+            leads = (key & np.uint64(1)).astype(bool)
+            own = np.log(np.bincount(which, np.where(leads, 0, times), len(words)))[which]
+            rare, seen = other >= RARE, pair > times
+            theirs = logs[np.where(rare, 0, other).astype(np.int64)]
+            unseen = np.log(BACKOFF) - base
+            as_first = np.where(seen, np.log(pair) - own, np.where(rare, 0, unseen + theirs))
+            as_second = np.where(seen, np.where(rare, 0, np.log(pair) - theirs), unseen + own)
+            score = times * np.where(leads, as_first, np.where(other == 0, own - base, as_second))
+            for part, n, lo, hi in zip(parts, docs, cuts, cuts[1:], strict=False):
+                found = np.unique(doc[lo:hi])
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([n], pa.int32()), pa.array([found.astype("<u2").tobytes()], pa.binary()), pa.array([np.bincount(doc[lo:hi], score[lo:hi], n)[found].tobytes()], pa.binary())], ["part", "docs", "doc", "sums"])
+
+    return run
+
+
 def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part = about = sums = None
 
@@ -262,16 +336,18 @@ def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield result()
 
 
-def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = VOCABULARY) -> DataFrame:
-    """(key, n_words, log_score, mean_log) for each row of docs."""
+def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int | None = None) -> DataFrame:
+    """(key, n_words, log_score, mean_log) for each row of docs; a limit closes the vocabulary."""
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("binary").alias("text"))
-    hashes, counts, total = vocabulary(rows.select("text"), limit)
+    closed = limit is not None
+    hashes, counts, total = vocabulary(rows.select("text"), limit if closed else VOCABULARY)
     shared = spark.sparkContext.broadcast((hashes, counts, total))
     buckets = max(1, -(-total // BUCKET_WORDS))
+    odd_buckets = max(1, -(-2 * int(counts[0]) // ODD_PAIRS))
     schema = "part long, bucket int, docs int, keys binary, held binary, doc binary, times binary"
-    exploded = written(rows.mapInArrow(_explode(shared, buckets), schema), "pairs", compression="zstd")
+    exploded = written(rows.mapInArrow(_explode(shared, buckets, odd_buckets, closed), schema), "pairs", compression="zstd")
     pairs = exploded.filter("bucket >= 0")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets)
     numbers = pairs.select("bucket", "keys", "held", "times").mapInArrow(_summed_times, "bucket int, keys binary, n binary")
@@ -284,6 +360,9 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int
     joined = copies.union(dealt).repartition(parts, "bucket", "salt").sortWithinPartitions("bucket", "salt", F.asc_nulls_first("part"))
     sums = joined.drop("salt").mapInArrow(_score(shared), "part long, docs int, doc binary, sums binary")
 
-    about = exploded.filter("bucket < 0").select("part", "docs", F.lit(None).cast("binary").alias("doc"), F.col("keys").alias("sums"))
+    if counts[0] and not closed:
+        odd = exploded.filter(F.col("bucket") <= ODD).repartition(max(parts, odd_buckets), "bucket").sortWithinPartitions("bucket")
+        sums = sums.union(odd.mapInArrow(tidy(_score_odd(shared)), "part long, docs int, doc binary, sums binary"))
+    about = exploded.filter(F.col("bucket") == ABOUT).select("part", "docs", F.lit(None).cast("binary").alias("doc"), F.col("keys").alias("sums"))
     added = about.union(sums).repartition(parts, "part").sortWithinPartitions("part", F.asc_nulls_first("doc"))
     return added.mapInArrow(_total, "key long, n_words long, log_score double, mean_log double").withColumnRenamed("key", key)

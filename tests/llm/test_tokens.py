@@ -187,6 +187,37 @@ def test_scores_equal_brute_force(spark, monkeypatch):
             assert mine[d].n_words == len(x) and abs(mine[d].log_score - want) < 1e-6 * max(1, abs(want))
 
 
+@pytest.mark.parametrize("most", [300, 1])
+def test_rare_words_have_their_own_counts(spark, monkeypatch, most):
+    for name, value in (("VOCABULARY", most), ("BUCKET_WORDS", 5000), ("CHUNK_DOCS", 37), ("JOIN_ROWS", 2), ("ODD_PAIRS", 100)):
+        monkeypatch.setattr(ngrams, name, value)
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    texts |= {-1: "qx1 qx2 qx3", -2: "qx2 qx3 qx2 qx3", -3: "qx9", -4: "", -5: "the qx1 the qx1"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    words = {d: (t or "").encode().lower().split() for d, t in texts.items()}
+    single = collections.Counter(w for x in words.values() for w in x)
+    own = {d: collections.Counter(zip(x, x[1:], strict=False)) for d, x in words.items()}
+    pairs, total = sum(own.values(), collections.Counter()), sum(single.values())
+    mine = {r.doc_id: r for r in ngrams.scores(docs).collect()}
+    assert len(mine) == len(texts) and len(single) > most
+    for d, x in words.items():
+        want = math.log(single[x[0]] / total) if x else 0.0
+        for p, q in zip(x, x[1:], strict=False):
+            want += math.log(pairs[p, q] / single[p]) if pairs[p, q] > own[d][p, q] else math.log(0.4 * single[q] / total)
+        assert mine[d].n_words == len(x) and abs(mine[d].log_score - want) < 1e-6 * max(1, abs(want))
+
+
+def test_more_words_than_are_numbered(spark):
+    n, size = 54, 5000
+    texts = [(d, " ".join(f"w{d}x{i}" for i in range(size))) for d in range(n)] + [(n, "w0x0 w0x1 w1x7")]
+    assert n * size > ngrams.VOCABULARY
+    mine = {r.doc_id: r.log_score for r in ngrams.scores(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    total = n * size + 3
+    once, twice = math.log(0.4 / total), math.log(0.4 * 2 / total)
+    assert abs(mine[5] - (math.log(1 / total) + (size - 1) * once)) < 1e-6 * size
+    assert abs(mine[n] - (math.log(2 / total) + math.log(2 / 2) + twice)) < 1e-6
+
+
 def test_arc_versions_and_faults():
     records = [("http://a b/\nc", "19990102030405", "text/html", b"HTTP/1.1 200 OK\r\nContent-Length: 2\r\n\r\nhi"), ("http://x/", "20000101000000", "text/plain", b"\n\nraw\n"), ("", "20000101000000", "text/html", b"")]
     for version in (1, 2):
