@@ -22,8 +22,18 @@ BASE = 2049
 _PART = re.compile(r'(?P<text>"[^"]*"?)|(?P<rest>REM.*)|(?P<data>DATA(?:[^:"]|"[^"]*"?)*)|(?P<print>\?)|(?P<word>' + "|".join(re.escape(k) for k in sorted(KEYWORDS, key=len, reverse=True)) + ")|(?P<other>.)", re.DOTALL)
 
 
+_QUOTED = re.compile(r'("[^"]*"?)')
+
+
+def _plain(part: str) -> bytes:
+    """Bytes as they stand. Outside quotes a byte from 128 on would be listed as a keyword, so only ASCII has bytes there."""
+    return b"".join(x.encode("latin-1" if x[:1] == '"' else "ascii", "replace") for x in _QUOTED.split(part))
+
+
 def tokens(line: str) -> bytes:
-    """The line's bytes: keywords outside quotes, longest first; after REM all, after DATA up to a colon is as it stands."""
+    """The line's bytes: keywords outside quotes, longest first; after REM all, after DATA up to a colon is as it stands.
+
+    A character without a byte is stored as a question mark: beyond Latin-1 in quotes and after REM, beyond ASCII elsewhere."""
     out = bytearray()
     for m in _PART.finditer(line):
         kind, part = m.lastgroup, m[0]
@@ -34,9 +44,9 @@ def tokens(line: str) -> bytes:
         elif kind in ("rest", "data"):
             word = "REM" if kind == "rest" else "DATA"
             out.append(CODES[word])
-            out += part[len(word) :].encode("latin-1", "replace")
+            out += part[len(word) :].encode("latin-1", "replace") if kind == "rest" else _plain(part[len(word) :])
         else:
-            out += part.encode("latin-1", "replace")
+            out += _plain(part)
     return bytes(out)
 
 

@@ -474,6 +474,16 @@ def program_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of plain characters as lines of a program, stored and listed again."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
     plain = turns.filter(~F.col("text").rlike("[^\\x00-\\x7F]") & ~F.col("text").contains("?"))
-    lines = basic.stored(plain, ["conv_id"], "turn", "text")
+    return _listings(plain)
+
+
+def _listings(turns: DataFrame) -> DataFrame:
+    lines = basic.stored(turns, ["conv_id"], "turn", "text")
     body = F.expr("substring(line, 5, octet_length(line) - 5)")
     return lines.select("conv_id", "turn", F.md5(basic.listed_of(body)).alias("listed_md5"))
+
+
+@query(None)
+def program_listings_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn as a line of a program, stored and listed again: ? as PRINT, characters without a byte as question marks."""
+    return _listings(table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text")))

@@ -20,6 +20,42 @@ def test_listing_gives_the_text_back():
         assert basic.listed(basic.tokens(line)) == line
 
 
+def brute_listing(text):
+    """A listing by a walk over the characters, without bytes in between."""
+    out, i, quoted, data = "", 0, False, False
+    while i < len(text):
+        c, word = text[i], None
+        if not quoted and not data:
+            word = max((k for k in basic.KEYWORDS if text.startswith(k, i)), key=len, default=None)
+        if word == "REM":
+            return out + "".join(x if ord(x) < 256 else "?" for x in text[i:])
+        if word:
+            out, i, data = out + word, i + len(word), word == "DATA"
+            continue
+        quoted ^= c == '"'
+        data &= quoted or c != ":"
+        out += "PRINT" if c == "?" and not quoted and not data else c if ord(c) < (256 if quoted else 128) else "?"
+        i += 1
+    return out
+
+
+def test_all_turns_are_listed(spark, tmp_path):
+    import hashlib
+
+    from conftest import DATA
+
+    from tapeloom.plans import catalogue
+
+    rng = random.Random(4)
+    odd = ["".join(rng.choice(["REM", "DATA", "PRINT", "FOR", "?", "é", "¿", "£", "日", "A", " ", ":", '"', "\n"]) for _ in range(rng.randrange(14))) for _ in range(600)]
+    rows = [(r.conv_id, r.turn, r.text) for r in spark.read.parquet(f"{DATA}/conversations.parquet").collect()]
+    kind = dict(spark.read.parquet(f"{DATA}/conversations.parquet").dtypes)
+    rows += [(rows[0][0], 1000 + i, t) for i, t in enumerate(["¿Qué? £5", "日本?", "", None, *odd])]
+    spark.createDataFrame(rows, f"conv_id {kind['conv_id']}, turn {kind['turn']}, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted(map(tuple, catalogue.QUERIES["program_listings_all"](spark, str(tmp_path)).collect()))
+    assert got == sorted((c, n, hashlib.md5(brute_listing(t or "").encode()).hexdigest()) for c, n, t in rows)
+
+
 def test_lines_are_linked(spark):
     df = spark.createDataFrame([("p", 20, "END"), ("p", 10, 'PRINT"HI"'), ("q", 5, None)], "p string, n int, t string")
     rows = {(r.p, r.n): r for r in basic.stored(df.filter("t is not null"), ["p"], "n", "t").collect()}
