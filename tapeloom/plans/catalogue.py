@@ -373,23 +373,28 @@ _DISK_BLOCKS = "greatest(1, (octet_length(data) + 253) // 254)"
 
 def _disks(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("TURN "), F.col("turn")).alias("name"), _bytes("text").alias("data"))
-    return disks.master(turns, "conv_id", "turn", "name", "data")
+    return disks.volumes(turns, "conv_id", "turn", "name", "data")
 
 
 @query(f"WITH {_FILES} SELECT conv_id, entry, name, 130 AS kind, {_DISK_BLOCKS} AS blocks FROM f")
 def disk_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations mastered as disks, a file for each turn, and their directories read back."""
-    return disks.directory(_disks(spark, sf_dir), "conv_id", "image").select("conv_id", "entry", "name", "kind", "blocks")
+    """Conversations mastered as disks, as many as each needs, a file for each turn, and their directories read back."""
+    entries = disks.files_on(disks.directory(_disks(spark, sf_dir), "disk", "image"))
+    entries = entries.groupBy(F.col("key").alias("conv_id"), F.col("file").alias("entry"))
+    return entries.agg(F.first("name").alias("name"), F.first("kind").alias("kind"), F.sum("blocks").alias("blocks"))
 
 
 @query(f"WITH {_FILES} SELECT conv_id, entry, {_DISK_BLOCKS} AS n_blocks, md5(data) AS data_md5 FROM f")
 def disk_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return disks.contents(_disks(spark, sf_dir), "conv_id", "image").select("conv_id", "entry", "n_blocks", F.md5("data").alias("data_md5"))
+    pieces = disks.files_on(disks.contents(_disks(spark, sf_dir), "disk", "image")).groupBy(F.col("key").alias("conv_id"), F.col("file").alias("entry"))
+    files = pieces.agg(F.sum("n_blocks").alias("n_blocks"), F.sort_array(F.collect_list(F.struct("piece", F.hex("data").alias("hex")))).alias("pieces"))
+    return files.select("conv_id", "entry", "n_blocks", F.md5(F.unhex(F.array_join("pieces.hex", ""))).alias("data_md5"))
 
 
 @query(f"WITH {_FILES} SELECT conv_id, 664 - CAST(sum({_DISK_BLOCKS}) AS BIGINT) AS free FROM f GROUP BY conv_id")
 def disk_free_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return disks.free_blocks(_disks(spark, sf_dir), "conv_id", "image")
+    free = disks.free_blocks(_disks(spark, sf_dir), "disk", "image").groupBy(F.col("disk.key").alias("conv_id"))
+    return free.agg((disks.CAPACITY - F.sum(disks.CAPACITY - F.col("free"))).alias("free"))
 
 
 @query("SELECT doc_id, codec, octet_length(encode(coalesce(text, ''))) AS n_bytes, md5(coalesce(text, '')) AS decoded_md5 FROM documents, (VALUES ('deflate'), ('gzip'), ('raw'), ('bits'), ('track'), ('memory')) AS c(codec)")

@@ -2,7 +2,7 @@
 
 Reading is column expressions on the image: links are followed by a fold inside the row, so an image of 175 kB stays
 one value and only its entries are exploded. Mastering places the blocks of one disk in order, each depending on those
-before; disks are independent, and a disk's rows are bounded by its capacity."""
+before; disks are independent. Files are dealt to disks by their sizes first, so a disk's rows are bounded by its capacity."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.functions.binary import byte_at, little
+from tapeloom.llm.common import totals_before, written
 
 #: Fixed by the format.
 SECTORS = [21] * 17 + [19] * 7 + [18] * 6 + [17] * 5
@@ -18,6 +19,8 @@ FIRST = [sum(SECTORS[:t]) for t in range(35)]
 SECTOR, DATA, IMAGE = 256, 254, 683 * 256
 DIRECTORY, INTERLEAVE, DIRECTORY_INTERLEAVE, MOST_FILES = 18, 10, 3, 144
 PROGRAM = 0x82
+#: Blocks for files: all but the directory's track.
+CAPACITY = sum(SECTORS) - SECTORS[DIRECTORY - 1]
 
 
 class Full(Exception):
@@ -81,20 +84,68 @@ def image_of(name: str, files: list[tuple[str, bytes]]) -> bytes:
     return bytes(disk.bytes)
 
 
-def master(files: DataFrame, key: str, order: str, name: str, data: str) -> DataFrame:
-    """(key, image, fault): an image for each key; files that don't fit give fault `disk full` and no image."""
+def blocks_of(data: Column) -> Column:
+    return F.greatest(F.lit(1), F.ceil(F.octet_length(data) / DATA)).cast("long")
+
+
+def _ordinals(files: DataFrame) -> DataFrame:
+    """(k, ordinal, n, d, blocks): files of a key numbered by o. Rows are dealt by ranges, so a key with many rows has many tasks."""
+    rows = files.withColumn("blocks", blocks_of(F.col("d"))).repartitionByRange("k", "o", F.xxhash64("n", "d")).sortWithinPartitions("k", "o", F.xxhash64("n", "d"))
+    at = F.monotonically_increasing_id()
+    rows = written(rows.select("k", F.shiftright(at, 33).alias("part"), at.bitwiseAND((1 << 33) - 1).alias("at"), "n", "d", "blocks"), "files")
+    parts = rows.groupBy("k", "part").agg(F.min("at").alias("least"), F.count("*").alias("files"))
+    shifts = totals_before(parts, ["k"], "part", "files", "base").select("k", "part", (F.col("base") - F.col("least")).alias("shift"))
+    return rows.alias("r").join(shifts.alias("l"), F.expr("r.k <=> l.k and r.part = l.part")).select("r.k", (F.col("at") + F.col("shift")).alias("ordinal"), "n", "d", "blocks")
 
-    def build(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("o")
-        try:
-            image, fault = image_of(f"DISK {rows.k.iloc[0]}", [(n, bytes(d)) for n, d in zip(rows.n, rows.d, strict=True)]), None
-        except Full:
-            image, fault = None, "disk full"
-        return pd.DataFrame({"k": [rows.k.iloc[0]], "image": [image], "fault": [fault]})
 
+def volumes(files: DataFrame, key: str, order: str, name: str, data: str) -> DataFrame:
+    """(disk, image): the files of each key on as many disks as they need; disk is (key, group, number, first, piece).
+
+    Up to MOST_FILES files in order are a group; in it a file that doesn't fit on the disk any more starts the next one,
+    and one that is larger than a disk goes on over several, in pieces of CAPACITY blocks. A disk's entries are files
+    first, first + 1, ... of its key, and the first of them starts with that piece of its file. Only the sizes of a
+    group's files are looked at together, and only the bytes of one disk."""
     chosen = files.select(F.col(key).alias("k"), F.col(order).alias("o"), F.col(name).alias("n"), F.coalesce(F.col(data).cast("binary"), F.lit(b"")).alias("d"))
+    rows = written(_ordinals(chosen).withColumn("grp", F.floor(F.col("ordinal") / MOST_FILES)), "files")
+    sizes = rows.groupBy("k", "grp").agg(F.sort_array(F.collect_list(F.struct("ordinal", "blocks"))).alias("files"))
+    none = F.array().cast("array<struct<ordinal:bigint,number:bigint>>")
+    start = F.struct(F.lit(0).cast("long").alias("number"), F.lit(0).cast("long").alias("taken"), none.alias("out"))
+
+    def put(state: Column, f: Column) -> Column:
+        fresh = (state["taken"] > 0) & (state["taken"] + f["blocks"] > CAPACITY)
+        number = state["number"] + fresh.cast("long")
+        taken = F.when(fresh, 0).otherwise(state["taken"]) + f["blocks"]
+        more = F.floor((taken - 1) / CAPACITY)
+        return F.struct((number + more).alias("number"), (taken - more * CAPACITY).alias("taken"), F.concat(state["out"], F.array(F.struct(f["ordinal"].alias("ordinal"), number.alias("number")))).alias("out"))
+
+    places = sizes.select("k", F.explode(F.aggregate("files", start, put)["out"]).alias("f")).select("k", "f.*")
+    placed = rows.alias("r").join(places.alias("p"), F.expr("r.k <=> p.k and r.ordinal = p.ordinal")).select("r.k", "grp", "r.ordinal", "number", "n", "d", "blocks")
+    pieces = placed.withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("blocks") - 1) / CAPACITY).cast("int"))))
+    part = F.substring("d", (F.col("piece") * (CAPACITY * DATA) + 1).cast("int"), F.lit(CAPACITY * DATA))
+    pieces = pieces.select("k", "grp", (F.col("number") + F.col("piece")).alias("number"), "ordinal", "piece", "n", part.alias("d"))
+
+    def build(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("ordinal")
+        r = rows.iloc[0]
+        image = image_of(f"DISK {r.k}", [(n, bytes(d)) for n, d in zip(rows.n, rows.d, strict=True)])
+        return pd.DataFrame({"k": [r.k], "grp": [r.grp], "number": [r.number], "first": [r.ordinal], "piece": [r.piece], "image": [image]})
+
     kind = dict(chosen.dtypes)["k"]
-    return chosen.groupBy("k").applyInPandas(build, f"k {kind}, image binary, fault string").withColumnRenamed("k", key)
+    built = pieces.groupBy("k", "grp", "number").applyInPandas(build, f"k {kind}, grp long, number long, first long, piece int, image binary")
+    return built.select(F.struct(F.col("k").alias("key"), F.col("grp").alias("group"), "number", "first", "piece").alias("disk"), "image")
+
+
+def master(files: DataFrame, key: str, order: str, name: str, data: str) -> DataFrame:
+    """(key, image, fault): one image for each key; files that don't fit on one give fault `disk full` and no image."""
+    made = volumes(files, key, order, name, data).groupBy(F.col("disk.key").alias(key)).agg(F.count("*").alias("_n"), F.first("image").alias("_image"))
+    full = F.col("_n") > 1
+    return made.select(key, F.when(~full, F.col("_image")).alias("image"), F.when(full, "disk full").alias("fault"))
+
+
+def files_on(entries: DataFrame) -> DataFrame:
+    """Entries of volumes with the key, and the number and piece of their file."""
+    whole = F.when(F.col("entry") == 0, F.col("disk.piece")).otherwise(0)
+    return entries.select(F.col("disk.key").alias("key"), (F.col("disk.first") + F.col("entry")).alias("file"), whole.alias("piece"), *(c for c in entries.columns if c not in ("disk", "entry")))
 
 
 def _at(track: Column, sector: Column) -> Column:

@@ -9,6 +9,21 @@ def test_query_gives_the_rows_of_its_sql(spark, duck, same_rows, name):
     same_rows(catalogue.QUERIES[name](spark, DATA), duck.execute(catalogue.ORACLES[name]))
 
 
+@pytest.mark.parametrize("name", ["disk_directories", "disk_files", "disk_free_blocks"])
+def test_long_conversations_take_several_disks(spark, same_rows, tmp_path, name):
+    import duckdb
+
+    turns = spark.read.parquet(f"{DATA}/conversations.parquet")
+    kind = dict(turns.dtypes)
+    first = turns.first().conv_id
+    odd = [(first, 10_000 + i, "user", "x" * (i * 37)) for i in range(400)] + [(first, 20_000 + i, "user", "yz" * n) for i, n in enumerate([200_000, 84_328, 84_329, 3])]
+    more = spark.createDataFrame(odd, f"conv_id {kind['conv_id']}, turn {kind['turn']}, role string, text string")
+    turns.limit(50).select("conv_id", "turn", "role", "text").union(more).write.parquet(f"{tmp_path}/conversations.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    same_rows(catalogue.QUERIES[name](spark, str(tmp_path)), duck.execute(catalogue.ORACLES[name]))
+
+
 def test_crc_of_files_is_that_of_zlib(spark):
     import zlib
 
