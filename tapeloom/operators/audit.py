@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -24,12 +24,13 @@ def contested(used: DataFrame, keys: list[str], owner: str) -> DataFrame:
 
 def out_of_order(blocks: DataFrame, file: str, pointer: str, chain: str, block: str) -> DataFrame:
     """(file, n_blocks, first_wrong): files whose blocks by place in the pointer table differ from those by place in
-    the chain; first_wrong is the first place where they do."""
-    table = F.sort_array(F.collect_list(F.struct(pointer, block)))
-    walked = F.sort_array(F.collect_list(F.struct(chain, block)))
-    both = blocks.groupBy(file).agg(table.alias("t"), walked.alias("w"))
-    wrong = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: F.get(F.col("t"), i)[block] != F.get(F.col("w"), i)[block])
-    return both.select(file, F.size("t").cast("long").alias("n_blocks"), F.get(wrong, F.lit(0)).cast("long").alias("first_wrong")).filter("first_wrong is not null")
+    the chain; first_wrong is the first place where they do. Both orders are numbered and joined, no file is collected."""
+    by = Window.partitionBy(file)
+    table = blocks.select(file, F.row_number().over(by.orderBy(pointer, block)).alias("_at"), F.col(block).alias("_t"))
+    walked = blocks.select(file, F.row_number().over(by.orderBy(chain, block)).alias("_at"), F.col(block).alias("_w"))
+    wrong = F.when(F.col("_t") != F.col("_w"), F.col("_at") - 1)
+    both = table.join(walked, [file, "_at"]).groupBy(file).agg(F.count("*").alias("n_blocks"), F.min(wrong).cast("long").alias("first_wrong"))
+    return both.filter("first_wrong is not null")
 
 
 def size_faults(files: DataFrame, blocks: DataFrame, file: str, declared: str, held: str) -> DataFrame:
@@ -52,6 +53,7 @@ def look_up(requests: DataFrame, entries: DataFrame, directory: str, name: str)
 
 
 def fold_names(entries: DataFrame, directory: str, name: str) -> DataFrame:
-    """The first entry of each case-folded name."""
+    """The first entry of each case-folded name: whole, and the smallest by its columns in their order."""
     rest = [c for c in entries.columns if c not in (directory, name)]
-    return entries.groupBy(directory, F.upper(name).alias("_folded")).agg(*(F.min(c).alias(c) for c in rest))
+    first = entries.groupBy(directory, F.upper(name).alias("_folded")).agg(F.min(F.struct(*rest)).alias("_first"))
+    return first.select(directory, "_folded", "_first.*")

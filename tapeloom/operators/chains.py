@@ -27,3 +27,26 @@ def walk(links: DataFrame, keys: list[str], node: str, following: str) -> DataFr
         reach *= 2
     loops = F.col("to").isNotNull()
     return state.select(*keys, F.col("node").alias(node), F.when(~loops, F.col("steps")).alias("steps"), loops.alias("loops"))
+
+
+def unroll(links: DataFrame, starts: DataFrame, keys: list[str], node: str, following: str, out: str, most: int, carried: list[str] | None = None) -> DataFrame:
+    """(keys, carried, out, node) for each block of each chain that starts at a row of starts, numbered from 0 by out.
+
+    links has one row for each block. Jumps double in each round, and so does what is known of every chain: a chain of n
+    blocks takes log2(n) rounds of two joins. A chain that loops ends after most blocks; a block that isn't there ends it too."""
+    carried = carried or []
+    jumps = links.select(*keys, F.col(node).alias("node"), F.col(following).alias("to"))
+    found = starts.select(*keys, *carried, F.lit(0).cast("long").alias(out), F.col(node).alias("node")).join(links.select(*keys, F.col(node).alias("node")), [*keys, "node"], "left_semi")
+    found = staged(found.select(*keys, *carried, out, "node"), "chains")
+    reach = 1
+    while reach < most:
+        ahead = found.join(jumps.filter("to is not null"), [*keys, "node"]).select(*keys, *carried, (F.col(out) + reach).alias(out), F.col("to").alias("node"))
+        ahead = ahead.filter(F.col(out) < most).join(links.select(*keys, F.col(node).alias("node")), [*keys, "node"], "left_semi").select(*keys, *carried, out, "node")
+        ahead = staged(ahead, "chains")
+        if ahead.isEmpty():
+            break
+        found = found.unionByName(ahead)
+        reach *= 2
+        further = jumps.select(*keys, F.col("node").alias("to"), F.col("to").alias("beyond"))
+        jumps = staged(jumps.join(further, [*keys, "to"], "left").select(*keys, "node", F.col("beyond").alias("to")), "jumps")
+    return found

@@ -22,9 +22,14 @@ def carry_header(df: DataFrame, keys: list[str], order: list[str], is_header: Co
 
 
 def next_boundary(df: DataFrame, keys: list[str], offset: str, end: Column, out: str) -> DataFrame:
-    """The smallest larger offset of the same file, or its end: where a payload without a length must stop."""
-    larger = Window.partitionBy(*keys).orderBy(offset).rangeBetween(1, Window.unboundedFollowing)
-    return df.withColumn(out, F.coalesce(F.min(offset).over(larger), end))
+    """The smallest larger offset of the same file, or its end: where a payload without a length must stop.
+
+    Distinct offsets look one row ahead and are joined back, so the work is linear in a file's entries."""
+    places = df.select(*keys, offset).distinct()
+    stops = places.withColumn("_stop", F.lead(offset).over(_ordered(keys, [offset])))
+    same = " and ".join(f"l.`{c}` <=> s.`{c}`" for c in (*keys, offset))
+    joined = df.alias("l").join(stops.alias("s"), F.expr(same), "left")
+    return joined.select("l.*", F.col("_stop")).withColumn(out, F.coalesce("_stop", end)).drop("_stop")
 
 
 def running_start(df: DataFrame, keys: list[str], order: list[str], size: Column, out: str, base: int = 0) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Written tables that end a lineage."""
+"""Written tables that end a lineage, and running totals that no single task holds."""
 
 from __future__ import annotations
 
@@ -6,7 +6,11 @@ import functools
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+#: Orders whose values are summed before the sums of earlier ones are added.
+CHUNK = 1000
 
 
 @functools.cache
@@ -14,9 +18,49 @@ def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="tapeloom-")
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """df written as Parquet in the folder that spark.checkpoint.dir names (a temporary one where it is unset), read back."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or _own_folder()
-    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder that spark.checkpoint.dir names.
+
+    Where it is unset a local master, as in tests, gets a temporary folder; on a cluster nobody else could read that."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = _own_folder()
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """df written as Parquet in the shared folder and read back: the lineage ends there."""
+    path = scratch(df.sparkSession, label)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dropped(table: DataFrame) -> None:
+    """Delete a staged table that nothing reads any more."""
+    spark = table.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have yet (names are compared without case, as Spark does)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def totals_before(parts: DataFrame, by: list[str], order: str, value: str, out: str) -> DataFrame:
+    """parts with the sum of value over the rows of the same group with a smaller order (a whole number).
+
+    Sums of CHUNK orders at a time are summed first, so no task sees more than a thousandth of a group's rows."""
+    chunk = fresh(parts, "chunk")
+    inside = parts.withColumn(chunk, F.floor(F.col(order) / CHUNK))
+    window = Window.partitionBy(*by)
+    chunks = inside.groupBy(*by, chunk).agg(F.sum(value).alias("all")).withColumn("ahead", F.sum("all").over(window.orderBy(chunk)) - F.col("all"))
+    inside = inside.withColumn("base", F.sum(value).over(Window.partitionBy(*by, chunk).orderBy(order)) - F.col(value))
+    same = " and ".join(f"i.`{c}` <=> c.`{c}`" for c in (*by, chunk))
+    return inside.alias("i").join(chunks.alias("c"), F.expr(same)).select(*(F.col(f"i.`{c}`").alias(c) for c in parts.columns), (F.col("base") + F.col("ahead")).alias(out))

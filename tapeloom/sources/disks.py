@@ -1,17 +1,25 @@
-"""Disk images of 35 tracks: mastered from file rows, and read as sectors, directory entries and files.
+"""Disk images of 35 tracks: laid out from file rows, and read as sectors, directory entries and files.
 
-Reading is column expressions on the image: links are followed by a fold inside the row, so an image of 175 kB stays
-one value and only its entries are exploded. Mastering places the blocks of one disk in order, each depending on those
-before; disks are independent. Files are dealt to disks by their sizes first, so a disk's rows are bounded by its capacity."""
+Both ways are joins and groupings of sector rows. Files get running block numbers; a block's number on its disk gives
+its place through one fixed order of the sectors, so no block waits for another. Reading turns an image into rows of
+sectors with their links, and follows all chains of all images at once by doubling. Only an image itself, 175 kB at
+most, is ever put together in one row.
+"""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from math import gcd
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tapeloom.functions.binary import byte_at, little
-from tapeloom.llm.common import totals_before, written
+from tapeloom.functions.binary import big, byte_at, little, packed
+from tapeloom.operators.chains import unroll
+from tapeloom.plans.staging import staged, totals_before
 
 #: Fixed by the format.
 SECTORS = [21] * 17 + [19] * 7 + [18] * 6 + [17] * 5
@@ -21,118 +29,117 @@ DIRECTORY, INTERLEAVE, DIRECTORY_INTERLEAVE, MOST_FILES = 18, 10, 3, 144
 PROGRAM = 0x82
 #: Blocks for files: all but the directory's track.
 CAPACITY = sum(SECTORS) - SECTORS[DIRECTORY - 1]
+ENTRIES = 8
+
+
+def spaced(k: int, n: int, step: int) -> int:
+    """The k-th of n sectors when each stands step after the last; a full round goes on one further."""
+    rounds = n // gcd(n, step)
+    return (k * step + k // rounds) % n
 
 
-class Full(Exception):
-    """The files don't fit on the disk."""
-
-
-class _Disk:
-    def __init__(self) -> None:
-        self.bytes = bytearray(IMAGE)
-        self.free = [set(range(n)) for n in SECTORS]
-
-    def take(self, track: int, start: int) -> int | None:
-        """The first free sector of a track from start on, wrapping round."""
-        n = SECTORS[track - 1]
-        for k in range(n):
-            if (sector := (start + k) % n) in self.free[track - 1]:
-                self.free[track - 1].discard(sector)
-                return sector
-        return None
-
-    def data(self, last: tuple[int, int] | None) -> tuple[int, int]:
-        """The next data sector: tracks outwards from the directory's, down and then up."""
-        tracks = [*range(DIRECTORY - 1, 0, -1), *range(DIRECTORY + 1, 36)]
-        first = tracks.index(last[0]) if last else 0
-        for i, track in enumerate(tracks[first:]):
-            sector = self.take(track, last[1] + INTERLEAVE if last and i == 0 else 0)
-            if sector is not None:
-                return track, sector
-        raise Full
-
-    def put(self, track: int, sector: int, raw: bytes) -> None:
-        at = (FIRST[track - 1] + sector) * SECTOR
-        self.bytes[at : at + len(raw)] = raw
-
-
-def image_of(name: str, files: list[tuple[str, bytes]]) -> bytes:
-    """A disk that holds the files in order; Full if they don't fit."""
-    if len(files) > MOST_FILES:
-        raise Full
-    disk = _Disk()
-    disk.free[DIRECTORY - 1] -= {0, 1}
-    places = [1]
-    for _ in range(max(1, -(-len(files) // 8)) - 1):
-        places.append(disk.take(DIRECTORY, places[-1] + DIRECTORY_INTERLEAVE))
-    entries = []
-    for title, data in files:
-        chain: list[tuple[int, int]] = []
-        for _ in range(max(1, -(-len(data) // DATA))):
-            chain.append(disk.data(chain[-1] if chain else None))
-        for i, place in enumerate(chain):
-            part = data[i * DATA : (i + 1) * DATA]
-            link = bytes(chain[i + 1]) if i + 1 < len(chain) else bytes([0, len(part) + 1])
-            disk.put(*place, link + part)
-        entries.append(bytes([PROGRAM, *chain[0]]) + title.encode("ascii", "replace")[:16].ljust(16, b"\xa0") + bytes(9) + len(chain).to_bytes(2, "little"))
-    for i, sector in enumerate(places):
-        link = bytes([DIRECTORY, places[i + 1]]) if i + 1 < len(places) else b"\x00\xff"
-        own = entries[8 * i : 8 * i + 8]
-        disk.put(DIRECTORY, sector, link + b"\0\0".join(own))
-    counts = b"".join(bytes([len(f)]) + sum(1 << s for s in f).to_bytes(3, "little") for f in disk.free)
-    disk.put(DIRECTORY, 0, bytes([DIRECTORY, 1, 0x41, 0]) + counts + name.encode("ascii", "replace")[:16].ljust(18, b"\xa0") + b"01\xa02A" + b"\xa0" * 4)
-    return bytes(disk.bytes)
+#: Tracks in the order in which they fill, and all data sectors (counted through the disk) in theirs.
+TRACKS = [*range(DIRECTORY - 1, 0, -1), *range(DIRECTORY + 1, 36)]
+ORDER = [FIRST[t - 1] + spaced(k, SECTORS[t - 1], INTERLEAVE) for t in TRACKS for k in range(SECTORS[t - 1])]
+#: The directory's sectors in their order; sector 0 of the track is the disk's header.
+LISTED = [FIRST[DIRECTORY - 1] + 1 + spaced(k, SECTORS[DIRECTORY - 1] - 1, DIRECTORY_INTERLEAVE) for k in range(SECTORS[DIRECTORY - 1] - 1)]
+HEADER = FIRST[DIRECTORY - 1]
 
 
 def blocks_of(data: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.octet_length(data) / DATA)).cast("long")
 
 
+def _from(values: list[int], at: Column) -> Column:
+    """The value at a place of a fixed table, which is one literal of three bytes each; null outside it."""
+    return F.when(at >= 0, big(F.lit(b"".join(v.to_bytes(3, "big") for v in values)), (at * 3).cast("int"), 3))
+
+
+def _address(place: Column) -> Column:
+    """Track and sector, two bytes, of a sector counted through the disk."""
+    both = [t * 256 + s for t, n in enumerate(SECTORS, 1) for s in range(n)]
+    return packed(_from(both, place), 2, "big")
+
+
 def _ordinals(files: DataFrame) -> DataFrame:
     """(k, ordinal, n, d, blocks): files of a key numbered by o. Rows are dealt by ranges, so a key with many rows has many tasks."""
     rows = files.withColumn("blocks", blocks_of(F.col("d"))).repartitionByRange("k", "o", F.xxhash64("n", "d")).sortWithinPartitions("k", "o", F.xxhash64("n", "d"))
     at = F.monotonically_increasing_id()
-    rows = written(rows.select("k", F.shiftright(at, 33).alias("part"), at.bitwiseAND((1 << 33) - 1).alias("at"), "n", "d", "blocks"), "files")
+    rows = staged(rows.select("k", F.shiftright(at, 33).alias("part"), at.bitwiseAND((1 << 33) - 1).alias("at"), "n", "d", "blocks"), "files")
     parts = rows.groupBy("k", "part").agg(F.min("at").alias("least"), F.count("*").alias("files"))
     shifts = totals_before(parts, ["k"], "part", "files", "base").select("k", "part", (F.col("base") - F.col("least")).alias("shift"))
     return rows.alias("r").join(shifts.alias("l"), F.expr("r.k <=> l.k and r.part = l.part")).select("r.k", (F.col("at") + F.col("shift")).alias("ordinal"), "n", "d", "blocks")
 
 
+def _free_map(used: Column, listed: Column) -> Column:
+    """The header's counts and bits of free sectors, when the first sectors in their order are used."""
+    starts = {t: sum(SECTORS[x - 1] for x in TRACKS[:i]) for i, t in enumerate(TRACKS)}
+    out = []
+    for t, n in enumerate(SECTORS, 1):
+        order = [0, *(p - HEADER for p in LISTED)] if t == DIRECTORY else [spaced(k, n, INTERLEAVE) for k in range(n)]
+        bits = [sum(1 << s for s in order[k:]) for k in range(n + 1)]
+        taken = listed + 1 if t == DIRECTORY else F.greatest(F.lit(0), F.least(F.lit(n), used - starts[t]))
+        out += [packed(F.lit(n) - taken, 1), packed(_from(bits, taken), 3)]
+    return F.concat(*out)
+
+
+@F.arrow_udf(T.BinaryType())
+def _laid(found: pa.Array) -> pa.Array:
+    """Images from the sectors that they hold, all others zeros."""
+    out = []
+    for sectors in found:
+        image = bytearray(IMAGE)
+        for s in sectors.as_py():
+            image[s["place"] * SECTOR : s["place"] * SECTOR + len(s["raw"])] = s["raw"]
+        out.append(bytes(image))
+    return pa.array(out, pa.binary())
+
+
 def volumes(files: DataFrame, key: str, order: str, name: str, data: str) -> DataFrame:
     """(disk, image): the files of each key on as many disks as they need; disk is (key, group, number, first, piece).
 
-    Up to MOST_FILES files in order are a group; in it a file that doesn't fit on the disk any more starts the next one,
-    and one that is larger than a disk goes on over several, in pieces of CAPACITY blocks. A disk's entries are files
-    first, first + 1, ... of its key, and the first of them starts with that piece of its file. Only the sizes of a
-    group's files are looked at together, and only the bytes of one disk."""
+    Up to MOST_FILES files in order are a group. A group's blocks are numbered through, and every CAPACITY of them are
+    a disk, so a file may go on over the next one, in pieces. A disk's entries are files first, first + 1, ... of its
+    key, and the first of them starts with that piece of its file. A key with any number of files and bytes is spread
+    over many tasks; what meets in one row is the sectors of one disk."""
     chosen = files.select(F.col(key).alias("k"), F.col(order).alias("o"), F.col(name).alias("n"), F.coalesce(F.col(data).cast("binary"), F.lit(b"")).alias("d"))
-    rows = written(_ordinals(chosen).withColumn("grp", F.floor(F.col("ordinal") / MOST_FILES)), "files")
-    sizes = rows.groupBy("k", "grp").agg(F.sort_array(F.collect_list(F.struct("ordinal", "blocks"))).alias("files"))
-    none = F.array().cast("array<struct<ordinal:bigint,number:bigint>>")
-    start = F.struct(F.lit(0).cast("long").alias("number"), F.lit(0).cast("long").alias("taken"), none.alias("out"))
-
-    def put(state: Column, f: Column) -> Column:
-        fresh = (state["taken"] > 0) & (state["taken"] + f["blocks"] > CAPACITY)
-        number = state["number"] + fresh.cast("long")
-        taken = F.when(fresh, 0).otherwise(state["taken"]) + f["blocks"]
-        more = F.floor((taken - 1) / CAPACITY)
-        return F.struct((number + more).alias("number"), (taken - more * CAPACITY).alias("taken"), F.concat(state["out"], F.array(F.struct(f["ordinal"].alias("ordinal"), number.alias("number")))).alias("out"))
-
-    places = sizes.select("k", F.explode(F.aggregate("files", start, put)["out"]).alias("f")).select("k", "f.*")
-    placed = rows.alias("r").join(places.alias("p"), F.expr("r.k <=> p.k and r.ordinal = p.ordinal")).select("r.k", "grp", "r.ordinal", "number", "n", "d", "blocks")
-    pieces = placed.withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("blocks") - 1) / CAPACITY).cast("int"))))
-    part = F.substring("d", (F.col("piece") * (CAPACITY * DATA) + 1).cast("int"), F.lit(CAPACITY * DATA))
-    pieces = pieces.select("k", "grp", (F.col("number") + F.col("piece")).alias("number"), "ordinal", "piece", "n", part.alias("d"))
-
-    def build(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ordinal")
-        r = rows.iloc[0]
-        image = image_of(f"DISK {r.k}", [(n, bytes(d)) for n, d in zip(rows.n, rows.d, strict=True)])
-        return pd.DataFrame({"k": [r.k], "grp": [r.grp], "number": [r.number], "first": [r.ordinal], "piece": [r.piece], "image": [image]})
-
-    kind = dict(chosen.dtypes)["k"]
-    built = pieces.groupBy("k", "grp", "number").applyInPandas(build, f"k {kind}, grp long, number long, first long, piece int, image binary")
-    return built.select(F.struct(F.col("k").alias("key"), F.col("grp").alias("group"), "number", "first", "piece").alias("disk"), "image")
+    rows = _ordinals(chosen).withColumn("grp", F.floor(F.col("ordinal") / MOST_FILES))
+    before = Window.partitionBy("k", "grp").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("start", F.coalesce(F.sum("blocks").over(before), F.lit(0)))
+    ends = F.floor((F.col("start") + F.col("blocks") - 1) / CAPACITY)
+    pieces = rows.withColumn("number", F.explode(F.sequence(F.floor(F.col("start") / CAPACITY), ends)))
+    # block numbers on the disk, and from where in the file the piece takes its bytes
+    first = F.greatest(F.lit(0), F.col("start") - F.col("number") * CAPACITY)
+    skipped = F.greatest(F.lit(0), F.col("number") * CAPACITY - F.col("start"))
+    pieces = pieces.select("k", "grp", "number", "ordinal", "n", first.alias("at"), skipped.alias("skipped"), (F.col("number") - F.floor(F.col("start") / CAPACITY)).cast("int").alias("piece"), F.least(F.col("blocks") - skipped, F.lit(CAPACITY) - first).alias("blocks"), "d")
+    part = F.substring("d", (F.col("skipped") * DATA + 1).cast("int"), (F.col("blocks") * DATA).cast("int"))
+    pieces = staged(pieces.withColumn("d", part), "pieces")
+    disk = ["k", "grp", "number"]
+
+    block = pieces.select(*disk, "at", "blocks", "d", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("i"))
+    body = F.substring("d", F.col("i") * DATA + 1, F.lit(DATA))
+    ahead = _address(_from(ORDER, F.col("at") + F.col("i") + 1))
+    link = F.when(F.col("i") + 1 < F.col("blocks"), ahead).otherwise(F.concat(F.lit(b"\0"), packed(F.octet_length(body) + 1, 1)))
+    sectors = block.select(*disk, _from(ORDER, F.col("at") + F.col("i")).alias("place"), F.concat(link, body).alias("raw"))
+
+    numbered = pieces.select(*disk, F.row_number().over(Window.partitionBy(*disk).orderBy("ordinal")).alias("e"), "ordinal", "piece", "n", "at", "blocks").withColumn("e", F.col("e") - 1)
+    title = F.rpad(F.hex(F.encode(F.substring("n", 1, 16), "US-ASCII")), 32, "A0")
+    entry = F.concat(F.lit(bytes([PROGRAM])), _address(_from(ORDER, F.col("at"))), F.unhex(title), F.lit(bytes(9)), packed(F.col("blocks"), 2))
+    slot = F.struct("e", F.hex(F.concat(entry, F.lit(b"\0\0"))).alias("x"))
+    listed = numbered.groupBy(*disk, F.floor(F.col("e") / ENTRIES).alias("s")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(slot)), lambda x: x["x"]), "").alias("x"))
+    about = numbered.groupBy(*disk).agg(F.sum("blocks").alias("used"), F.max(F.floor(F.col("e") / ENTRIES)).alias("last"), F.min(F.struct("ordinal", "piece")).alias("lead"))
+    about = staged(about, "disks")
+    listed = listed.alias("l").join(about.alias("a"), F.expr("l.k <=> a.k and l.grp = a.grp and l.number = a.number")).select("l.k", "l.grp", "l.number", "s", "x", "last")
+    link = F.when(F.col("s") < F.col("last"), _address(_from(LISTED, F.col("s") + 1))).otherwise(F.lit(b"\x00\xff"))
+    listed = listed.select(*disk, _from(LISTED, F.col("s")).alias("place"), F.concat(link, F.unhex("x")).alias("raw"))
+    label = F.rpad(F.hex(F.encode(F.substring(F.concat(F.lit("DISK "), F.coalesce(F.col("k").cast("string"), F.lit(""))), 1, 16), "US-ASCII")), 36, "A0")
+    header = F.concat(F.lit(bytes([DIRECTORY, 1, 0x41, 0])), _free_map(F.col("used"), F.col("last") + 1), F.unhex(label), F.lit(b"01\xa02A" + b"\xa0" * 4))
+    headers = about.select(*disk, F.lit(HEADER).alias("place"), header.alias("raw"))
+
+    laid = sectors.unionByName(listed).unionByName(headers).groupBy(*disk).agg(F.collect_list(F.struct(F.col("place").cast("int").alias("place"), "raw")).alias("found"))
+    images = laid.select(*disk, _laid("found").alias("image"))
+    named = images.alias("i").join(about.alias("a"), F.expr("i.k <=> a.k and i.grp = a.grp and i.number = a.number"))
+    return named.select(F.struct(F.col("i.k").alias("key"), F.col("i.grp").alias("group"), F.col("i.number").alias("number"), F.col("lead.ordinal").alias("first"), F.col("lead.piece").alias("piece")).alias("disk"), "image")
 
 
 def master(files: DataFrame, key: str, order: str, name: str, data: str) -> DataFrame:
@@ -148,59 +155,63 @@ def files_on(entries: DataFrame) -> DataFrame:
     return entries.select(F.col("disk.key").alias("key"), (F.col("disk.first") + F.col("entry")).alias("file"), whole.alias("piece"), *(c for c in entries.columns if c not in ("disk", "entry")))
 
 
-def _at(track: Column, sector: Column) -> Column:
-    """Where a sector starts; null outside the disk."""
-    first = F.get(F.array(*map(F.lit, FIRST)), (track - 1).cast("int"))
-    most = F.get(F.array(*map(F.lit, SECTORS)), (track - 1).cast("int"))
-    return F.when(sector < most, (first + sector) * SECTOR).cast("long")
+def _place(track: Column, sector: Column) -> Column:
+    """A sector counted through the disk; null outside it."""
+    return F.when(sector < _from(SECTORS, track - 1), _from(FIRST, track - 1) + sector).cast("long")
 
 
-def _follow(image: Column, track: Column, sector: Column, steps: int) -> Column:
-    """The places of a chain's sectors; it ends at track 0, outside the disk, or after as many steps as could be right."""
-    start = F.struct(_at(track, sector).alias("at"), F.array().cast("array<bigint>").alias("seen"))
+def sectors(disks: DataFrame, key: str, image: str) -> DataFrame:
+    """(key, place, following, raw) for each sector of an image that isn't all zeros; following is null at an end."""
 
-    def step(state: Column, _: Column) -> Column:
-        ahead = _at(byte_at(image, state["at"]), byte_at(image, state["at"] + 1))
-        return F.when(state["at"].isNull(), state).otherwise(F.struct(ahead.alias("at"), F.concat(state["seen"], F.array(state["at"])).alias("seen")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = np.full((256, 256), -1)
+        for t, n in enumerate(SECTORS, 1):
+            places[t, :n] = FIRST[t - 1] + np.arange(n)
+        for batch in batches:
+            for row, raw in enumerate(batch.column(1)):
+                raw = (raw.as_py() or b"")[:IMAGE]
+                grid = np.frombuffer(raw, np.uint8, len(raw) // SECTOR * SECTOR).reshape(-1, SECTOR)
+                at = np.flatnonzero(grid.any(1))
+                ahead = places[grid[at, 0], grid[at, 1]]
+                own = batch.column(0).take(pa.array(np.full(len(at), row)))
+                yield pa.RecordBatch.from_arrays([own, pa.array(at, pa.int64()), pa.array(ahead, pa.int64(), mask=ahead < 0), pa.array([grid[i].tobytes() for i in at], pa.binary())], [key, "place", "following", "raw"])
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)["seen"]
+    chosen = disks.select(F.col(key).alias(key), F.col(image).cast("binary"))
+    schema = T.StructType([chosen.schema[0]]).add("place", "long").add("following", "long").add("raw", "binary")
+    return chosen.mapInArrow(run, schema)
 
 
-def directory(disks: DataFrame, key: str, image: str) -> DataFrame:
-    """(key, entry, name, kind, track, sector, blocks) for each used slot, in the directory's order."""
-    img = F.col("_image")
-    chain = disks.select(key, F.col(image).alias("_image")).withColumn("_dir", _follow(img, F.lit(DIRECTORY).cast("long"), F.lit(1).cast("long"), SECTORS[DIRECTORY - 1]))
-    slots = F.flatten(F.transform("_dir", lambda at: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.substring(img, (at + i * 32 + 1).cast("int"), F.lit(32)))))
-    rows = chain.select(key, F.posexplode(slots).alias("entry", "slot"))
-    title = F.rtrim(F.translate(F.decode(F.substring("slot", F.lit(6), F.lit(16)), "ISO-8859-1"), "\xa0", " "))
+def _directory(rows: DataFrame, key: str) -> DataFrame:
+    start = rows.filter(F.col("place") == LISTED[0]).select(key, "place")
+    chain = unroll(rows, start, [key], "place", "following", "step", SECTORS[DIRECTORY - 1])
+    slots = chain.join(rows.select(key, F.col("place").alias("node"), "raw"), [key, "node"])
+    each = F.transform(F.sequence(F.lit(0), F.lit(ENTRIES - 1)), lambda i: F.substring("raw", i * 32 + 1, F.lit(32)))
+    slots = slots.select(key, "step", F.posexplode(each).alias("i", "slot"))
     s = F.col("slot")
-    out = rows.select(key, F.col("entry").cast("long").alias("entry"), title.alias("name"), byte_at(s, 2).alias("kind"), byte_at(s, 3).alias("track"), byte_at(s, 4).alias("sector"), little(s, 30, 2).alias("blocks"))
+    title = F.rtrim(F.translate(F.decode(F.substring("slot", F.lit(6), F.lit(16)), "ISO-8859-1"), "\xa0", " "))
+    out = slots.select(key, (F.col("step") * ENTRIES + F.col("i")).alias("entry"), title.alias("name"), byte_at(s, 2).alias("kind"), byte_at(s, 3).alias("track"), byte_at(s, 4).alias("sector"), little(s, 30, 2).alias("blocks"))
     return out.filter("kind != 0 and track != 0")
 
 
-def contents(disks: DataFrame, key: str, image: str) -> DataFrame:
-    """(key, entry, data, n_blocks) of each file. Files are read by an image at a time: entries join their own disk."""
-    entries = directory(disks, key, image)
-    listed = entries.groupBy(key).agg(F.collect_list(F.struct("entry", "track", "sector")).alias("_files"))
-    img = F.col(image)
-
-    def read(e: Column) -> Column:
-        chain = _follow(img, e["track"], e["sector"], sum(SECTORS))
-        return F.struct(e["entry"].alias("entry"), chain.alias("chain"))
+def directory(disks: DataFrame, key: str, image: str) -> DataFrame:
+    """(key, entry, name, kind, track, sector, blocks) for each used slot, in the directory's order. A null key has none."""
+    return _directory(staged(sectors(disks, key, image), "sectors"), key)
 
-    def data(f: Column) -> Column:
-        parts = F.transform(f["chain"], lambda at: F.hex(F.substring(img, (at + 3).cast("int"), F.when(byte_at(img, at) == 0, byte_at(img, at + 1) - 1).otherwise(DATA).cast("int"))))
-        return F.struct(f["entry"].alias("entry"), F.unhex(F.array_join(parts, "")).alias("data"), F.size(f["chain"]).cast("long").alias("n_blocks"))
 
-    found = disks.join(listed, key).withColumn("_chains", F.transform("_files", read))
-    return found.select(key, F.explode(F.transform("_chains", data)).alias("f")).select(key, "f.*")
+def contents(disks: DataFrame, key: str, image: str) -> DataFrame:
+    """(key, entry, data, n_blocks) of each file. A chain that loops ends after as many blocks as a disk has."""
+    rows = staged(sectors(disks, key, image), "sectors")
+    starts = _directory(rows, key).select(key, "entry", _place(F.col("track"), F.col("sector")).alias("place"))
+    chains = unroll(rows, starts, [key], "place", "following", "step", sum(SECTORS), ["entry"])
+    last = byte_at(F.col("raw"), 0) == 0
+    body = F.substring("raw", F.lit(3), F.when(last, F.greatest(F.lit(0), byte_at(F.col("raw"), 1) - 1)).otherwise(DATA).cast("int"))
+    found = chains.join(rows.select(key, F.col("place").alias("node"), "raw"), [key, "node"]).select(key, "entry", "step", F.hex(body).alias("x"))
+    files = found.groupBy(key, "entry").agg(F.sort_array(F.collect_list(F.struct("step", "x"))).alias("b"))  # a disk's sectors at most
+    return files.select(key, "entry", F.unhex(F.array_join("b.x", "")).alias("data"), F.size("b").cast("long").alias("n_blocks"))
 
 
 def free_blocks(disks: DataFrame, key: str, image: str) -> DataFrame:
     """(key, free): free sectors by the bitmap, the directory's track left out."""
     img = F.col(image)
-    at = (FIRST[DIRECTORY - 1]) * SECTOR
-    counts = [byte_at(img, at + 4 * t) for t in range(1, 36) if t != DIRECTORY]
+    counts = [byte_at(img, HEADER * SECTOR + 4 * t) for t in range(1, 36) if t != DIRECTORY]
     return disks.select(key, sum(counts[1:], counts[0]).alias("free"))
-
-

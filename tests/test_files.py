@@ -46,13 +46,19 @@ def test_sql_names(spark):
     assert (r.t, bytes(r.v)) == (195, b"hello") and r.f.startswith("bad data")
 
 
-def test_disks_hold_what_was_put_on_them():
+def mastered(spark, files):
+    rows = [(1, i, n, bytearray(d)) for i, (n, d) in enumerate(files)]
+    return disks.master(spark.createDataFrame(rows, "k long, o int, n string, d binary"), "k", "o", "n", "d").first()
+
+
+def test_disks_hold_what_was_put_on_them(spark):
     files = [(f"F{i}", bytes((i * j) % 256 for j in range(i * 700))) for i in range(20)]
-    image = disks.image_of("TEST", files)
+    image = bytes(mastered(spark, files).image)
     assert len(image) == disks.IMAGE and image[disks.FIRST[17] * 256] == 18
     at = lambda t, s: (disks.FIRST[t - 1] + s) * 256
-    t, s, found = 18, 1, []
+    t, s, found, used = 18, 1, [], set()
     while t:
+        used.add((t, s))
         block = image[at(t, s) : at(t, s) + 256]
         found += [block[i * 32 : i * 32 + 32] for i in range(8) if block[i * 32 + 2]]
         t, s = block[0], block[1]
@@ -61,12 +67,21 @@ def test_disks_hold_what_was_put_on_them():
         assert entry[5:21].rstrip(b"\xa0").decode() == name
         t, s, raw = entry[3], entry[4], b""
         while t:
+            assert (t, s) not in used
+            used.add((t, s))
             block = image[at(t, s) : at(t, s) + 256]
             t, s = block[0], block[1]
             raw += block[2:] if t else block[2 : s + 1]
         assert raw == data
-    with pytest.raises(disks.Full):
-        disks.image_of("X", [("A", bytes(170_000))])
+    for t, n in enumerate(disks.SECTORS, 1):  # the header's bits are those of the sectors that no chain holds
+        count, bits = image[at(18, 0) + 4 * t], int.from_bytes(image[at(18, 0) + 4 * t + 1 : at(18, 0) + 4 * t + 4], "little")
+        free = {s for s in range(n) if (t, s) not in used | {(18, 0)}}
+        assert count == len(free) and bits == sum(1 << s for s in free)
+    assert mastered(spark, [("A", bytes(170_000))]).fault == "disk full"
+
+
+def test_every_sector_has_its_place():
+    assert sorted([*disks.ORDER, *disks.LISTED, disks.HEADER]) == list(range(683)) and len(disks.ORDER) == disks.CAPACITY == 664
 
 
 def test_full_disks_are_faults_and_odd_images_end(spark):
@@ -74,7 +89,7 @@ def test_full_disks_are_faults_and_odd_images_end(spark):
     made = disks.master(spark.createDataFrame(rows, "k long, o int, n string, d binary"), "k", "o", "n", "d")
     assert {r.k: r.fault for r in made.collect()} == {1: "disk full", 2: None}
     assert sorted((r.entry, bytes(r.data)) for r in disks.contents(made, "k", "image").collect()) == [(0, b"x"), (1, b"")]
-    looped = bytearray(disks.image_of("L", [("A", bytes(600))]))
+    looped = bytearray(mastered(spark, [("A", bytes(600))]).image)
     first = disks.FIRST[16] * 256
     looped[first : first + 2] = bytes([17, 0])
     odd = spark.createDataFrame([(1, looped), (2, bytearray(10)), (3, None)], "k long, image binary")

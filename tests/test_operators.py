@@ -114,3 +114,27 @@ def test_layouts(spark):
     files = spark.createDataFrame([("a", "p"), ("a", "c"), ("a", "c"), ("b", "p")], "s string, role string")
     found = {r.s: (r.files, r.missing, r.repeated) for r in layouts.sets(files, ["s"], "role", ["p", "c", "v"]).collect()}
     assert found == {"a": (3, "v", "c"), "b": (1, "c,v", "")}
+
+
+def test_look_up_gives_whole_entries(spark):
+    entries = spark.createDataFrame([("d", "A", 1, 9), ("d", "a", 2, 5), ("e", "B", None, 7)], "dir string, name string, block int, size int")
+    asked = spark.createDataFrame([(1, "d", "a"), (2, "e", "b"), (3, "e", "A")], "q int, dir string, name string")
+    found = {r.q: (r.block, r["size"]) for r in audit.look_up(asked, entries, "dir", "name").collect()}
+    assert found == {1: (1, 9), 2: (None, 7), 3: (None, None)}
+
+
+def test_boundaries_of_a_long_file(spark):
+    n = 120_000
+    df = spark.range(n).select(F.lit("f").alias("f"), (F.col("id") / 2).cast("long").alias("at"))
+    out = sequences.next_boundary(df, ["f"], "at", F.lit(-1), "stop")
+    assert out.filter("stop = at + 1").count() == n - 2 and out.filter("stop = -1").count() == 2
+
+
+def test_chains_unroll(spark):
+    links = [("f", 1, 2), ("f", 2, 3), ("f", 3, None), ("f", 7, 8), ("f", 8, 7), ("f", 10, 99), ("g", 1, None)]
+    starts = [("f", "a", 1), ("f", "b", 2), ("f", "c", 7), ("f", "d", 10), ("f", "e", 55), ("g", "a", 1)]
+    rows = chains.unroll(spark.createDataFrame(links, "k string, block long, next long"), spark.createDataFrame(starts, "k string, e string, block long"), ["k"], "block", "next", "step", 5, ["e"]).collect()
+    found = {}
+    for r in sorted(rows):
+        found.setdefault((r.k, r.e), []).append(r.node)
+    assert found == {("f", "a"): [1, 2, 3], ("f", "b"): [2, 3], ("f", "c"): [7, 8, 7, 8, 7], ("f", "d"): [10], ("g", "a"): [1]}
