@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import ctypes
-import functools
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeloom.plans.staging import dropped, fresh, scratch, totals_before
+from tapeloom.plans.staging import staged as written
+
+__all__ = ["bounded_batches", "connected", "dropped", "fresh", "groups", "scratch", "tidy", "totals_before", "written"]
+
 #: Upper bounds of one Arrow batch sent to a Python worker.
 BATCH_ROWS = 4096
 BATCH_BYTES = 4 << 20
-CHUNK = 1000
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -24,17 +25,6 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-@functools.cache
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="tapeloom-")
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; where it is unset, as in tests, a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 def tidy(run):
     """run, but what its task has freed goes back to the system: workers live on and would keep it."""
 
@@ -50,22 +40,6 @@ def tidy(run):
     return inner
 
 
-def written(df: DataFrame, label: str, **options: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: the lineage ends there."""
-    spark = df.sparkSession
-    path = scratch(spark, label)
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def fresh(df: DataFrame, name: str) -> str:
-    """A column name that df doesn't have yet (names are compared without case, as Spark does)."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Runs of rows with equal keys, from the batches of a partition that is sorted by keys.
 
@@ -92,36 +66,24 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
-def totals_before(parts: DataFrame, by: list[str], order: str, value: str, out: str) -> DataFrame:
-    """parts with the sum of value over the rows of the same group with a smaller order (a whole number).
-
-    Sums of CHUNK orders at a time are summed first, so no task sees more than a thousandth of a group's rows."""
-    chunk = fresh(parts, "chunk")
-    inside = parts.withColumn(chunk, F.floor(F.col(order) / CHUNK))
-    window = Window.partitionBy(*by)
-    chunks = inside.groupBy(*by, chunk).agg(F.sum(value).alias("all")).withColumn("ahead", F.sum("all").over(window.orderBy(chunk)) - F.col("all"))
-    inside = inside.withColumn("base", F.sum(value).over(Window.partitionBy(*by, chunk).orderBy(order)) - F.col(value))
-    same = " and ".join(f"i.`{c}` <=> c.`{c}`" for c in (*by, chunk))
-    return inside.alias("i").join(chunks.alias("c"), F.expr(same)).select(*(F.col(f"i.`{c}`").alias(c) for c in parts.columns), (F.col("base") + F.col("ahead")).alias(out))
-
-
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected graph: (id, component), component the smallest id reached.
 
     Each round sends the smallest known label over every edge and then jumps to the label's own label, so the
-    number of rounds grows with the logarithm of the diameter. Every round is a written table; nothing but a
-    count of changes comes to the driver. Ids without an edge aren't returned; self edges return the id alone."""
-    spark = edges.sparkSession
+    number of rounds grows with the logarithm of the diameter. Labels reach an id by partial minima, and a label that
+    many ids share is looked up once and joined back by AQE's split of skewed keys. Every round is a written table,
+    the one before it is deleted; nothing but a count of changes comes to the driver. Ids without an edge aren't
+    returned; self edges return the id alone."""
     both = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a is not null and b is not null")
     both = written(both.union(both.select("b", "a")).distinct(), "edges")
-    labels = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("component"))
-    labels = written(labels, "labels")
-    while True:
+    state = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("component")).withColumn("was", F.col("id")), "labels")
+    while not state.filter("component < was").isEmpty():
+        labels = state.select("id", "component")
         sent = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         near = labels.join(sent, "id").select("id", F.col("component").alias("was"), F.least("component", "near").alias("near"))
         far = labels.select(F.col("id").alias("near"), F.col("component").alias("far"))
-        moved = near.join(far, "near").select("id", "was", F.least("near", "far").alias("component"))
-        moved = written(moved, "labels")
-        labels = moved.select("id", "component")
-        if not moved.filter("component < was").limit(1).count():
-            return labels
+        moved = written(near.join(far, "near").select("id", F.least("near", "far").alias("component"), "was"), "labels")
+        dropped(state)
+        state = moved
+    dropped(both)
+    return state.select("id", "component")

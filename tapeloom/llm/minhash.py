@@ -6,13 +6,23 @@ second is shifted by k places for coordinate k, so that a shingle's values in al
 of a table. Bands of coordinates bring candidates together; every link is confirmed on the full sets.
 
 Texts with equal sets form a class, of which only the smallest id is compared further, so a large group of exact copies
-costs as much as one text. Classes that share a band, directly or through others, form a candidate group; groups are
-compared in blocks of at most BLOCK classes, in which all intersections come from one matrix product. A pair of blocks
-returns at most one edge for each class (to the root of its links inside the pair of blocks), never its pairs.
+costs as much as one text. Classes that share a band are verified inside that band's group, and only confirmed links are
+connected, so a chance collision costs one comparison and never brings its neighbours together:
+
+1. Each class is compared with the first member of each of its bands' groups. A first with many members is copied to as
+   many tasks as they need. The confirmed links are connected.
+2. Where a group's members still stand in several components, those outside its largest component are compared with all
+   its members, in blocks of at most BLOCK classes, in which all intersections come from one matrix product. Groups with
+   the same members are compared once. A pair of blocks returns at most one edge for each class.
+
+So a group of near copies, whose links to the first join nearly all of them, costs a comparison each. Only a group of
+texts that share a band without being linked costs products of its blocks, which the method asks for.
 
 Defined cases: a null text, or one without words, has an empty set and links with nothing. A null id gives a row with
-a null component that is kept. Repeated rows of an id are one
-document, be their texts equal or not: they share its component and are all kept if it is the smallest.
+a null component that is kept. Repeated rows of an id are one document, be their texts equal or not: they share its
+component and are all kept if it is the smallest. Of equal sets the smallest id stands for the others; a group's first is
+its smallest id. A very long text costs time and memory in proportion to its words in one row. Other columns aren't
+read, so their names may be any. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,10 +43,12 @@ BANDS, ROWS = 30, 5
 UNIVERSE = 1 << 21
 SEED = 20240229
 BLOCK = 384
+#: Members of a group that one copy of its first is compared with in a task.
+STAR = 256
 #: Cells of the matrices in a comparison of two blocks.
 CELLS = 4_000_000
-#: Up to so many ids of classes in candidate groups are broadcast (16 MB); beyond it their texts are shuffled.
-BROADCAST_IDS = 1_000_000
+#: Up to so many rows (class, its groups) are broadcast; beyond it the texts of their classes are shuffled.
+BROADCAST_IDS = 200_000
 
 
 class WordHashes(dict):
@@ -117,30 +129,60 @@ def _sketches(width: int):
     return run
 
 
-def _sets(width: int):
+def _sets(width: int, columns: list[str]):
+    """The rows with the fingerprints of their text in place of it; text is the last column."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            sets = [shingles(raw, width, hashes).tobytes() for raw in batch.column(4).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sets, pa.binary())], ["id", "component", "blocks", "block", "marks"])
+            sets = [shingles(raw, width, hashes).tobytes() for raw in batch.column(len(columns)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(sets, pa.binary())], [*columns, "marks"])
 
     return run
 
 
-def block_links(sets: list[np.ndarray], cut: int, percent: int) -> list[tuple[int, int]]:
-    """Edges (i, root of i) that join what is linked; pairs of two rows both below or both from cut are left out if cut is inside.
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have 100 * intersection >= percent * union."""
+    if len(a) > len(b):
+        a, b = b, a
+    if 100 * len(a) < percent * len(b):
+        return False
+    at = np.searchsorted(b, a)
+    common = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
+def _with_first(percent: int):
+    """Edges between each group's first, whose rows come before the others', and the members linked with it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, firsts = None, []
+        for batch in batches:
+            found = []
+            for first, salt, member, i, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (first, salt) != group:
+                    group, firsts = (first, salt), []
+                marks = np.frombuffer(raw, np.uint64)
+                if not member:
+                    firsts.append(marks)
+                elif any(linked(f, marks, percent) for f in firsts):
+                    found.append((i, first))
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    Sets are linked when 100 * intersection >= percent * union."""
+    return run
+
+
+def block_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Edges (i, root of i) that join what is linked of the rows of left with those of right."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets])
     flat, owner = np.concatenate(sets), np.repeat(np.arange(n), sizes)
-    values, inverse, times = np.unique(flat, return_inverse=True, return_counts=True)
+    _, inverse, times = np.unique(flat, return_inverse=True, return_counts=True)
     shared = times > 1  # what one set holds alone can't be in an intersection
     column = np.cumsum(shared) - 1
     use = shared[inverse]
     rows, columns = owner[use], column[inverse[use]]
-    lo, hi = (n, 0) if cut in (0, n) else (cut, cut)
-    common = np.zeros((lo, n - hi), np.float32)
+    common = np.zeros((len(left), len(right)), np.float32)
     order = np.argsort(columns, kind="stable")
     rows, columns = rows[order], columns[order]
     step = max(64, CELLS // n)
@@ -148,11 +190,10 @@ def block_links(sets: list[np.ndarray], cut: int, percent: int) -> list[tuple[in
         a, b = np.searchsorted(columns, (start, start + step))
         m = np.zeros((n, min(step, int(shared.sum()) - start)), np.float32)
         m[rows[a:b], columns[a:b] - start] = 1
-        common += m[:lo] @ m[hi:].T
+        common += m[left] @ m[right].T
     common = np.rint(common).astype(np.int64)
-    union = sizes[:lo, None] + sizes[None, hi:] - common
+    union = sizes[left][:, None] + sizes[right][None] - common
     i, j = np.nonzero(100 * common >= percent * union)
-    j = j + hi
     parent = list(range(n))
 
     def root(x: int) -> int:
@@ -161,26 +202,68 @@ def block_links(sets: list[np.ndarray], cut: int, percent: int) -> list[tuple[in
             x = parent[x]
         return x
 
-    for x, y in zip(i.tolist(), j.tolist(), strict=True):
-        if x < y and (rx := root(x)) != (ry := root(y)):
+    for x, y in zip(left[i].tolist(), right[j].tolist(), strict=True):
+        if (rx := root(x)) != (ry := root(y)):
             parent[max(rx, ry)] = min(rx, ry)
     return [(x, r) for x in range(n) if (r := root(x)) != x]
 
 
+#: A row's part in a comparison: on the left, on the right, or on both sides.
+LEFT, RIGHT, BOTH = 0, 1, 2
+
+
 def _compare(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in groups(batches, ["component", "i", "j"]):
-            blocks = np.array(rows.column("block").to_pylist())
-            order = np.argsort(blocks, kind="stable")
-            ids = np.array(rows.column("id").to_pylist(), np.int64)[order]
-            marks = rows.column("marks").to_pylist()
-            sets = [np.frombuffer(marks[k], np.uint64) for k in order]
-            edges = block_links(sets, int((blocks == blocks.min()).sum()), percent) if len(sets) > 1 else []
+        for rows in groups(batches, ["band", "i", "j"]):
+            side = np.array(rows.column("side").to_pylist())
+            ids = np.array(rows.column("id").to_pylist(), np.int64)
+            sets = [np.frombuffer(x, np.uint64) for x in rows.column("marks").to_pylist()]
+            edges = block_links(sets, np.flatnonzero(side != RIGHT), np.flatnonzero(side != LEFT), percent)
             yield pa.RecordBatch.from_arrays([pa.array(ids[[e[k] for e in edges]] if edges else [], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run
 
 
+def _with_marks(rows: DataFrame, deals: DataFrame, width: int) -> DataFrame:
+    """deals (id, deals) of classes joined to the texts of their ids, as sets: (id, deal's fields, marks)."""
+    few = deals.count() <= BROADCAST_IDS
+    texts = rows.join(F.broadcast(deals) if few else deals, "id").select("id", "deals", "text")
+    kind = deals.schema["deals"].dataType.simpleString()
+    sets = texts.mapInArrow(tidy(_sets(width, ["id", "deals"])), f"id long, deals {kind}, marks binary")
+    return sets.select("id", F.explode("deals").alias("deal"), "marks").select("id", "deal.*", "marks")
+
+
+def _star_links(rows: DataFrame, stars: DataFrame, width: int, percent: int, parts: int) -> DataFrame:
+    """Confirmed links (a, b) of classes with the first members of their groups; stars holds pairs (id, first)."""
+    salts = stars.groupBy("first").agg(F.ceil(F.count("*") / STAR).cast("int").alias("salts"))
+    member = stars.join(salts, "first").select("id", F.struct("first", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.lit(True).alias("member")).alias("deal"))
+    own = salts.select(F.col("first").alias("id"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).select("id", F.struct(F.col("id").alias("first"), "salt", F.lit(False).alias("member")).alias("deal"))
+    deals = written(member.union(own).groupBy("id").agg(F.collect_list("deal").alias("deals")), "stars")  # BANDS for each class, and a copy for STAR members
+    dealt = _with_marks(rows, deals, width).select("first", "salt", "member", "id", "marks")
+    dealt = dealt.repartition(parts, "first", "salt").sortWithinPartitions("first", "salt", "member")
+    return dealt.mapInArrow(tidy(_with_first(percent)), "a long, b long")
+
+
+def _group_links(rows: DataFrame, members: DataFrame, width: int, percent: int, parts: int) -> DataFrame:
+    """Confirmed links (a, b) inside groups (band, id, component) whose members stand in several components."""
+    per = members.groupBy("band", "component").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("x"))
+    split = per.groupBy("band").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component"))["component"].alias("main"), F.max("n").alias("most"), F.count("*").alias("parts"), F.sum("s").alias("s"), F.bit_xor("x").alias("x"))
+    # groups of the same members are compared once
+    split = split.filter("parts > 1").groupBy("n", "s", "x").agg(F.min_by(F.struct("band", "main", "most"), "band").alias("g")).select("g.*", "n")
+    split = written(split.select("band", "main", F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("lefts"), F.ceil(F.col("n") / BLOCK).cast("int").alias("rights")), "split")
+    odd = F.col("component") != F.col("main")
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    deal = lambda i, j, side: F.struct("band", i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"))
+    one = F.array(F.when(odd, deal(F.lit(0), F.lit(0), BOTH)).otherwise(deal(F.lit(0), F.lit(0), RIGHT)))
+    left = F.when(odd, F.transform(F.sequence(F.lit(0), F.col("rights") - 1), lambda o: deal(block("lefts"), o, LEFT))).otherwise(F.array().cast("array<struct<band:bigint,i:int,j:int,side:int>>"))
+    right = F.transform(F.sequence(F.lit(0), F.col("lefts") - 1), lambda o: deal(o, block("rights"), RIGHT))
+    dealt = members.join(split, "band").withColumn("deals", F.when((F.col("lefts") == 1) & (F.col("rights") == 1), one).otherwise(F.concat(left, right)))
+    deals = written(dealt.groupBy("id").agg(F.flatten(F.collect_list("deals")).alias("deals")), "deals")  # BANDS groups for each class
+    rows = _with_marks(rows, deals, width).select("band", "i", "j", "side", "id", "marks")
+    rows = rows.repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j")
+    return rows.mapInArrow(tidy(_compare(percent)), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """(key, n_shingles, component_id, kept) for each row of docs.
 
@@ -192,27 +275,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     sketches = written(rows.mapInArrow(tidy(_sketches(width)), "id long, n_shingles long, digest binary, bands array<long>"), "sketches")
     known = sketches.filter("id is not null and digest is not null")
     # n copies leave each task as one row; the bands of one member stand for all, as equal sets have equal signatures
-    classes = written(known.groupBy("digest").agg(F.min("id").alias("id"), F.min_by("bands", "id").alias("bands")), "classes")
-    bands = classes.select("id", F.explode("bands").alias("band"))
-    first = bands.groupBy("band").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("band", "first")
-    # a class's bands lead to at most BANDS first members; the smallest of them stands for the others
-    leads = bands.join(first, "band").groupBy("id").agg(F.sort_array(F.collect_set("first")).alias("firsts"))
-    near = leads.select(F.explode(F.array_union(F.array("id"), "firsts")).alias("a"), F.col("firsts")[0].alias("b")).filter("a != b").distinct()
-    candidates = connected(near)
-    sizes = candidates.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    candidates = written(candidates.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "candidates")
-
-    # full sets of the classes in candidate groups only, made again from their texts
-    n = candidates.count()
-    texts = rows.join(F.broadcast(candidates) if n <= BROADCAST_IDS else candidates, "id")
-    sets = texts.select("id", "component", "blocks", "block", "text").mapInArrow(tidy(_sets(width)), "id long, component long, blocks int, block int, marks binary")
-    if classes.groupBy("id").count().filter("count > 1").limit(1).count():  # rows of one id with different texts
-        sets = sets.distinct()
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = sets.select("component", "id", "marks", "block", others).select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "marks")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 20_000)
-    dealt = dealt.repartition(parts, "component", "i", "j").sortWithinPartitions("component", "i", "j")
-    links = connected(dealt.mapInArrow(tidy(_compare(percent)), "a long, b long"))
+    classes = written(known.groupBy("digest").agg(F.min("id").alias("id"), F.min_by("bands", "id").alias("bands"), F.first("n_shingles").alias("n_shingles")), "classes")
+    bands = classes.select("id", F.col("n_shingles").alias("size"), F.explode("bands").alias("band"))
+    first = bands.groupBy("band").agg(F.min(F.struct("id", "size")).alias("f"), F.count("*").alias("n")).filter("n > 1")
+    placed = written(bands.join(first, "band").select("band", "id", "size", "n", F.col("f.id").alias("first"), F.col("f.size").alias("first_size")), "bands")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), placed.count() // 100_000)
+    near = placed.filter(f"id != first and 100 * least(size, first_size) >= {percent} * greatest(size, first_size)")
+    stars = _star_links(rows, near.select("id", "first").distinct(), width, percent, parts)
+    # ids with several texts are one document: their classes are linked
+    several = known.groupBy("id").agg(F.min("digest").alias("d"), F.max("digest").alias("e")).filter("d != e").select("id")
+    same = known.join(several, "id").select("id", "digest").distinct().join(classes.select("digest", F.col("id").alias("lead")), "digest").select(F.col("id").alias("a"), F.col("lead").alias("b"))
+    edges = written(stars.union(same), "links")
+    joined = connected(edges)
+    # a group of two is done: its one pair was compared
+    members = placed.filter("n > 2").join(joined, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
+    more = _group_links(rows, members, width, percent, parts)
+    links = connected(edges.union(more))
 
     reached = classes.select("digest", "id").join(links, "id", "left").select("digest", F.coalesce("component", "id").alias("class_component"))
     named = sketches.select("id", "n_shingles", "digest").join(reached, "digest", "left")

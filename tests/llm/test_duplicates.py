@@ -50,6 +50,7 @@ def near_copies(seed, groups=6, copies=25, words=120):
 
 def test_minhash_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 6)  # groups of many blocks
+    monkeypatch.setattr(minhash, "STAR", 5)
     for width, percent in ((3, 85), (5, 80), (1, 50)):
         texts = near_copies(width)
         df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
