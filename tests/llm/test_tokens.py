@@ -33,16 +33,37 @@ def test_memo_gives_the_ids_of_whole_texts(file):
         assert all(got == ids(t).tobytes() for got, t in zip(mine.encode(texts), texts, strict=True))
 
 
-def test_rank_and_served_equal_the_sorted_round_robin():
+def test_turns_equal_the_served_order():
+    """Blocks sorted by the time at which they are due, one after another, and all tokens once."""
     rng = random.Random(1)
-    for _ in range(100):
-        k = rng.randrange(1, 5)
-        totals = [rng.randrange(30) for _ in range(k)]
-        m = packing.Mixture(totals, [rng.randrange(1, 9) for _ in range(k)] if rng.random() < 0.5 else None)
-        order = sorted((Fraction(2 * j + 1, 2 * m.weights[q]), q, j) for q in range(k) for j in range(totals[q]))
-        assert [m.rank(q, j) for _, q, j in order] == list(range(len(order)))
-        for place in range(len(order) + 2):
-            assert m.served(place) == [sum(q == x for _, x, _ in order[:place]) for q in range(k)]
+    for _ in range(300):
+        totals = [rng.randrange(1, 90) for _ in range(rng.randrange(1, 6))]
+        weights = [rng.choice([0, 0, 1, 2, 5]) for _ in totals]
+        quantum, size = rng.randrange(1, 6), rng.randrange(5, 40)
+        named = [(w, n) for w, n in zip(weights, totals, strict=True) if w]
+        rest = sum(totals) - sum(n for _, n in named)
+        turns = packing.Turns(named, rest, size, quantum)
+        for w, n in zip(weights, totals, strict=True):
+            blocks, at, want = -(-n // quantum), 0, {}
+            for b in range(blocks):
+                stop = (b + 1) * n // blocks
+                if w:
+                    v = Fraction((2 * b + 1) * n, 2 * blocks * w)
+                    due = sum(min(Fraction(m), x * v) for x, m in named)
+                else:
+                    due = sum(m for _, m in named) + Fraction((2 * b + 1) * rest, 2 * blocks)
+                want |= {t: due // size for t in range(at, stop)}
+                assert stop - at <= quantum
+                at = stop
+            first = rng.randrange(n)
+            count = rng.randrange(1, n - first + 1)
+            for lo, k in ((0, n), (first, count)):
+                got = {t + i: win for win, t, m in turns.runs(w, n, lo, k) for i in range(m)}
+                assert got == {t: want[t] for t in range(lo, lo + k)}
+            credit = lambda p: p * Fraction(n, max(1, rest))
+            if not named:  # what a queue is owed never grows beyond a block
+                for k in range(1, sum(totals) // size + 1):
+                    assert abs(sum(win < k for win in want.values()) - credit(k * size)) <= quantum
 
 
 def check_packed(rows, docs, ids, end):
@@ -78,6 +99,20 @@ def test_windows_hold_the_mixture(spark):
     assert first == 1536
 
 
+def test_two_thousand_sources_with_named_weights(spark):
+    rows = [(i, "a " * (5 + i % 7), f"s{i % 2000}") for i in range(6000)] + [(9000 + 2 * i + j, "b " * 40, x) for i in range(60) for j, x in enumerate(("big", "small"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    found = packing.pack(docs, tokens.path("byte_bpe_50k.json"), window_sequences=1, weights={"big": 3, "small": 1}).collect()
+    check_packed(found, {d: t for d, t, _ in rows}, library("byte_bpe_50k.json"), 0)
+    first = collections.Counter()
+    for r in found:
+        if r.sequence_id < 2:
+            first[r.queue] += r.length
+    assert set(first) == {"big", "small"} and abs(first["big"] - 3 * first["small"]) <= 8
+    last = [r.sequence_id for r in found if r.queue in ("big", "small")]
+    assert max(last) <= 1 + min(r.sequence_id for r in found if r.queue.startswith("s") and r.queue != "small")
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame(ODD, SCHEMA)
     rows = packing.pack(df, tokens.path("byte_bpe_50k.json")).collect()
