@@ -1,10 +1,14 @@
 """Embedding near-dedup: spherical k-means cells, blocked cosine products, one kept vector for each component.
 
 Vectors of equal label are compared by cosine in double precision. Equal vectors form a class, whose smallest id stands
-for them. Spherical k-means, fitted on a bounded sample, gives every class a home cell; a class is also a guest in each
-cell of a smaller number whose border is so near that a link could cross it. (Where u is nearer to the centre a and v
-to b, a link means |u - v| <= d, d = sqrt(2 - 2 * threshold), so v lies within d of the plane between a and b.) Hence
-every link is found once, in the smaller of the two home cells, whatever the centres are; they decide only the work.
+for them. Spherical k-means, fitted on a bounded sample, makes as many cells as the largest label has CELL_ROWS classes;
+each class goes to the PROBES cells whose centres are nearest, and classes of a label are compared where they share a
+cell. So a class is copied PROBES times at any number of cells, and with k cells PROBES ** 2 / k of all pairs are
+compared. A pair is counted in the smallest cell that both are in, so no link is counted twice.
+
+Cells decide which pairs are looked at, and every pair is confirmed by its cosine: no link below the threshold is made.
+A link may be missed if the nearest cells of its two ends are all different; the README has the recall measured against
+exact=True, which compares all pairs of a label. Clusters of copies, whose cells agree, lose nothing of their component.
 
 Cells are compared in blocks of at most BLOCK classes, each pair of blocks as one matrix product, so a cell that holds
 most rows is spread over many tasks. A pair of blocks returns a row for each class that has links in it: their number,
@@ -12,7 +16,8 @@ and an edge to the root of its links there.
 
 Defined cases: a vector that is null, zero, or holds null or non-finite components links with nothing, and neither does
 one with a null label; it is its own component and kept. Vectors of different lengths don't link. Repeated rows are
-vectors of their own and link with each other. A row with a null id links with nothing and has a null component. An empty table gives no rows.
+vectors of their own and link with each other. A row with a null id links with nothing and has a null component. Equally
+near centres are taken in their order. Other columns aren't read, so their names may be any. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,9 +34,11 @@ from .common import bounded_batches, connected, groups, written
 
 THRESHOLD = 0.93
 BLOCK = 512
-#: Classes for each cell, the most cells, and the most vectors (and bytes) that the centres are fitted on.
-CELL_ROWS = 4096
-MAX_CELLS = 256
+#: Classes of the largest label for each cell, the most cells, the cells of a class, and the most vectors (and bytes) that
+#: the centres are fitted on. Beyond MAX_CELLS cells grow with the table.
+CELL_ROWS = 32
+MAX_CELLS = 1024
+PROBES = 3
 SAMPLE_ROWS = 16_384
 SAMPLE_BYTES = 32 << 20
 ROUNDS = 12
@@ -48,8 +55,7 @@ def _prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes: list[int | None] = []
         for label, row in zip(labels.to_pylist(), lists, strict=True):
             x = np.empty(0) if label is None or not row.is_valid else row.values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0
-            with np.errstate(over="ignore"):
-                usable = len(x) and np.isfinite(x).all() and x.any() and np.isfinite(x @ x) and x @ x > 0
+            usable = len(x) and np.isfinite(x).all() and x.any()
             raw = x.tobytes() if usable else None
             vectors.append(raw)
             digests.append(raw and xxhash.xxh3_128_digest(raw))
@@ -59,6 +65,7 @@ def _prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _unit(raw: list[bytes]) -> np.ndarray:
     x = np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
+    x = x / np.abs(x).max(1, keepdims=True)  # squares of very large or small components would leave the range of doubles
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
@@ -78,25 +85,27 @@ def centres(sample: np.ndarray, cells: int) -> np.ndarray:
     return c
 
 
-def cells_of(x: np.ndarray, c: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """The home cell of each unit vector, and whether it is a guest in each cell."""
-    near = x @ c.T
-    home = near.argmax(1)
-    apart = np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T)))[home]
-    reach = np.sqrt(2 - 2 * threshold) * apart + 1e-9
-    guest = (near[np.arange(len(x)), home][:, None] - near <= reach) & (np.arange(len(c))[None] < home[:, None])
-    return home, guest
+def cells_of(x: np.ndarray, c: np.ndarray, probes: int) -> np.ndarray:
+    """The cells of each unit vector: those of the nearest centres."""
+    near = -(x @ c.T)
+    if probes >= len(c):
+        return np.broadcast_to(np.arange(len(c)), near.shape)
+    return np.argsort(near, axis=1, kind="stable")[:, :probes]
 
 
 def _compare(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in groups(batches, ["label", "size", "cell", "guests", "i", "j"]):
+        for rows in groups(batches, ["label", "size", "cell", "i", "j"]):
             side = np.array(rows.column("side").to_pylist())
             ids, n = (np.array(rows.column(k).to_pylist(), np.int64) for k in ("id", "n"))
-            x = _unit(rows.column("vector").to_pylist())
-            own = rows.column("guests")[0].as_py() == 0 and rows.column("i")[0].as_py() == rows.column("j")[0].as_py()
+            x, cells = _unit(rows.column("vector").to_pylist()), np.array(rows.column("cells").to_pylist())
+            cell, own = rows.column("cell")[0].as_py(), rows.column("i")[0].as_py() == rows.column("j")[0].as_py()
             left, right = (np.arange(len(ids)),) * 2 if own else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
             on = x[left] @ x[right].T >= threshold
+            u, v = np.nonzero(on)
+            # a pair with a smaller cell in common is counted there
+            mine, theirs = cells[left[u]], cells[right[v]]
+            on[u, v] = ~((mine[:, :, None] == theirs[:, None, :]) & (mine[:, :, None] < cell)).any((1, 2))
             if own:
                 np.fill_diagonal(on, False)
             links = np.zeros(len(ids), np.int64)
@@ -117,7 +126,7 @@ def _compare(threshold: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, key: str = "vec_id", label: str = "label", vector: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
+def near_duplicates(vectors: DataFrame, key: str = "vec_id", label: str = "label", vector: str = "embedding", threshold: float = THRESHOLD, cell_rows: int = CELL_ROWS, probes: int = PROBES, exact: bool = False) -> DataFrame:
     """(key, n_links, component_id, kept) for each row of vectors; key must hold whole numbers."""
     spark = vectors.sparkSession
     bounded_batches(spark)
@@ -128,41 +137,33 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", label: str = "label
     classes = written(classes, "classes")
 
     count = classes.count()
+    largest = classes.groupBy("label", "size").count().agg(F.max("count")).first()[0] or 0
     common = classes.groupBy("size").count().orderBy(F.desc("count"), "size").limit(1).collect()
     size = common[0]["size"] if common else 1
     take = max(1, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * size)))
     sample = classes.filter(F.col("size") == size).select("vector").orderBy(F.xxhash64("digest"), "vector").limit(take).collect()
-    middle = centres(_unit([r.vector for r in sample]), min(MAX_CELLS, -(-count // CELL_ROWS))) if sample else np.zeros((1, size))
+    k = 1 if exact else max(1, min(MAX_CELLS, -(-largest // cell_rows)))
+    middle = centres(_unit([r.vector for r in sample]), k) if sample else np.zeros((1, size))
+    probes = min(probes, len(middle))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fits = np.array(batch.column(2).to_pylist(), np.int64) == size
-            cell = np.zeros(len(fits), np.int64)
-            guest = np.zeros((len(fits), len(middle)), bool)
+            cells = np.zeros((len(fits), probes), np.int32)  # vectors of another length are all in cell 0
             at = np.flatnonzero(fits)
             if len(at):
-                cell[at], guest[at] = cells_of(_unit(batch.column(4).take(pa.array(at)).to_pylist()), middle, threshold)
-            visitor, visited = np.nonzero(guest)
-            take = pa.array(np.concatenate([np.arange(len(fits)), visitor]))
-            out = [batch.column(k).take(take) for k in range(5)]
-            cells = np.concatenate([cell, visited]).astype(np.int32)
-            guests = np.arange(len(cells)) >= len(fits)
-            yield pa.RecordBatch.from_arrays([*out, pa.array(cells), pa.array(guests)], ["id", "label", "size", "n", "vector", "cell", "guest"])
-
-    dealt = written(classes.select("id", "label", "size", "n", "vector").mapInArrow(assign, "id long, label string, size int, n long, vector binary, cell int, guest boolean"), "cells")
-    blocks = dealt.groupBy("label", "size", "cell").agg(*(F.ceil(F.count(F.when(F.col("guest") == g, 1)) / BLOCK).cast("int").alias(name) for name, g in (("homes", False), ("visits", True))))
-    blocks = written(blocks, "blocks")
+                cells[at] = cells_of(_unit(batch.column(4).take(pa.array(at)).to_pylist()), middle, probes)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(5)), pa.array(cells.tolist(), pa.list_(pa.int32()))], ["id", "label", "size", "n", "vector", "cells"])
+
+    dealt = classes.select("id", "label", "size", "n", "vector").mapInArrow(assign, "id long, label string, size int, n long, vector binary, cells array<int>")
+    dealt = written(dealt, "cells").withColumn("cell", F.explode(F.array_distinct("cells")))
+    blocks = written(dealt.groupBy("label", "size", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
     if blocks.count() <= BROADCAST_ROWS:
         blocks = F.broadcast(blocks)
-    dealt = dealt.join(blocks, ["label", "size", "cell"]).withColumn("b", F.pmod(F.xxhash64("id", "vector"), F.when(F.col("guest"), F.col("visits")).otherwise(F.col("homes"))).cast("int"))
-    # home with home (each pair of blocks once), and home with guests
-    deals = F.expr("""
-        if(guest,
-           transform(sequence(0, homes - 1), o -> struct(1 as guests, o as i, b as j, 1 as side)),
-           concat(transform(sequence(0, homes - 1), o -> struct(0 as guests, least(b, o) as i, greatest(b, o) as j, int(b > o) as side)),
-                  transform(if(visits > 0, sequence(0, visits - 1), array()), o -> struct(1 as guests, b as i, o as j, 0 as side))))""")
-    dealt = dealt.filter("not guest or homes > 0").select("label", "size", "cell", F.explode(deals).alias("deal"), "id", "n", "vector").select("label", "size", "cell", "deal.*", "id", "n", "vector")
-    keys = ["label", "size", "cell", "guests", "i", "j"]
+    dealt = dealt.join(blocks, ["label", "size", "cell"]).withColumn("b", F.pmod(F.xxhash64("id", "vector"), F.col("blocks")).cast("int"))
+    deals = F.expr("transform(sequence(0, blocks - 1), o -> struct(least(b, o) as i, greatest(b, o) as j, int(b > o) as side))")  # each pair of blocks once
+    keys = ["label", "size", "cell", "i", "j"]
+    dealt = dealt.select("label", "size", "cell", "cells", F.explode(deals).alias("deal"), "id", "n", "vector").select("label", "size", "cell", "deal.*", "cells", "id", "n", "vector")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), count // 10_000)
     found = written(dealt.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(_compare(threshold), "id long, n_links long, root long"), "links")
     # ids are unique to a class unless rows of one id hold different vectors; then their links add up

@@ -96,7 +96,7 @@ def test_components_of_long_chains_and_stars(spark):
 
 
 def brute_vectors(rows):
-    ok = [(i, lab, np.array(v, float)) for i, lab, v in rows if lab is not None and v and None not in v and np.isfinite(np.array(v, float)).all() and np.array(v, float).any()]
+    ok = [(i, lab, np.array(v, float) / np.abs(np.array(v, float)).max()) for i, lab, v in rows if lab is not None and v and None not in v and np.isfinite(np.array(v, float)).all() and np.array(v, float).any()]
     links = [(a, b) for x, (a, la, u) in enumerate(ok) for b, lb, v in ok[x + 1 :] if la == lb and len(u) == len(v) and u @ v / np.sqrt(u @ u * (v @ v)) >= 0.93]
     n = {i: 0 for i, *_ in rows}
     for a, b in links:
@@ -107,19 +107,39 @@ def brute_vectors(rows):
 
 def test_embeddings_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "BLOCK", 8)
-    monkeypatch.setattr(embeddings, "CELL_ROWS", 20)  # several cells, so that links cross them
     rng = np.random.default_rng(4)
     bases = rng.normal(size=(12, 16))
     rows = [(i, int(i % 2), (bases[i % 12] + rng.normal(size=16) * rng.choice([0, 0.1, 0.3, 0.45])).tolist()) for i in range(240)]
-    rows += [(1000, None, [1.0] * 16), (1001, 1, None), (1002, 1, [0.0] * 16), (1003, 1, [float("nan")] + [1.0] * 15), (1004, 1, [None] + [1.0] * 15), (1005, 1, [1.0, 2.0]), (1006, 1, [2.0, 4.0]), (1007, 1, [])]
+    rows += [(1000, None, [1.0] * 16), (1001, 1, None), (1002, 1, [0.0] * 16), (1003, 1, [float("nan")] + [1.0] * 15), (1004, 1, [None] + [1.0] * 15), (1005, 1, [1.0, 2.0]), (1006, 1, [2.0, 4.0]), (1007, 1, []), (1008, 0, [1e200] * 16), (1009, 0, [3e-200] * 16)]
     df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
     n, parts = brute_vectors(rows)
-    found = embeddings.near_duplicates(df).collect()
+    found = embeddings.near_duplicates(df, exact=True).collect()
     assert {r.vec_id: r.n_links for r in found} == n and {r.vec_id: r.component_id for r in found} == parts
+    found = embeddings.near_duplicates(df, cell_rows=20).collect()  # six cells, so that links cross them
+    assert sum(r.n_links for r in found) >= 0.97 * sum(n.values()) and all(r.n_links <= n[r.vec_id] for r in found)
+    assert sum(r.component_id == parts[r.vec_id] for r in found) >= 0.99 * len(found)
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
     again = embeddings.near_duplicates(df.union(df.filter("vec_id < 3"))).collect()
     assert all(r.n_links >= n[r.vec_id] for r in again) and len(again) == len(rows) + 3
 
 
+def test_cells_prune_and_find(spark):
+    """Few of all pairs are compared, three copies of a vector are made, and nearly all links at the threshold are found."""
+    rng = np.random.default_rng(7)
+    bases = rng.normal(size=(4000, 64))
+    bases /= np.sqrt((bases * bases).sum(1, keepdims=True))
+    noise = rng.normal(size=bases.shape)
+    noise -= (noise * bases).sum(1, keepdims=True) * bases
+    noise /= np.sqrt((noise * noise).sum(1, keepdims=True))
+    x = np.concatenate([bases, 0.94 * bases + np.sqrt(1 - 0.94**2) * noise])
+    c = embeddings.centres(x, len(x) // embeddings.CELL_ROWS)
+    cells = embeddings.cells_of(x, c, embeddings.PROBES)
+    assert cells.shape[1] == 3
+    sizes = np.bincount(cells.ravel(), minlength=len(c))
+    assert (sizes * sizes).sum() < 0.1 * len(x) ** 2
+    found = (cells[:4000, :, None] == cells[4000:, None, :]).any((1, 2))
+    assert found.mean() >= 0.9
+
+
 def test_embedding_query_equals_its_sql(spark, duck, same_rows):
     same_rows(Q.op3_embedding_dedup(spark, DATA), duck.execute(Q.ORACLES["op3_embedding_dedup"]))
