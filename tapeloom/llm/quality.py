@@ -1,13 +1,18 @@
 """Quality rules: a linear-chain CRF labels the lines of a text as content or boilerplate.
 
 The labeller has two states and sparse indicator features of a line (length, symbols, capitals, digits,
-separators, repetition, end of sentence). Its weights are the maximum-likelihood ones of a bounded sample of
-documents with a quality label: every line of a document takes the document's label. Viterbi decoding gives the
-best label sequence of each whole text; a document is kept when the content lines hold enough of its words.
+separators, repetition, end of sentence). It learns from a bounded sample of documents with a quality label, whose lines
+have weak labels: first every line stands alone and takes its document's label, which tells the features of either kind;
+then a line that these tell apart clearly takes what they say, and a line between takes its document's label. So a bad
+document's clean lines and a good one's boilerplate count as what they are, sequences change state, and the chain's
+weights, the maximum-likelihood ones of these labels, learn how often. Viterbi decoding gives the best label sequence of
+each whole text; a document is kept when the content lines hold enough of its words.
 
 Defined cases: a null or empty text has no words, fails the base rule (fewer than 20 words) and isn't kept.
 Without labelled rows of both kinds the labeller calls every line content. Lines without a word aren't labelled.
-Repeated rows get equal verdicts; extra columns pass through, and a clash of names is solved by a new name.
+Of equally good label sequences that wins which has content in the last line where they differ. A very long text is decoded whole, in time and memory
+proportional to its lines. Repeated rows get equal verdicts; extra columns pass through, and a clash of names is solved by
+a new name. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -34,6 +39,8 @@ MIN_CONTENT_SHARE = 0.5
 SAMPLE_DOCS = 1500
 SEQUENCE_LINES = 64
 SAMPLE_SEQUENCES = 6000
+#: Log-odds from which a line's features outweigh its document's label.
+CLEAR = 1.0
 
 RESULT = (
     "struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint,"
@@ -121,7 +128,7 @@ class LineCrf:
     start: np.ndarray = field(default_factory=lambda: np.zeros(2))
 
     def viterbi(self, features: list[list[int]]) -> list[int]:
-        """The best label sequence; of equal ones that with content first."""
+        """The best label sequence; of equal ones that with content in the last line where they differ."""
         if not features:
             return []
         scores = self.emit[np.array(features)].sum(1).tolist()
@@ -138,16 +145,27 @@ class LineCrf:
         return best[::-1]
 
     @classmethod
-    def fit(cls, sequences: list[tuple[int, list[list[int]]]], rounds: int = 100, rate: float = 0.1, decay: float = 1e-3) -> LineCrf:
-        """Maximum likelihood by Adam over all sequences at once; a sequence is the state of its lines and their features."""
-        if len({y for y, _ in sequences}) < 2:
+    def weak(cls, sequences: list[tuple[int, list[list[int]]]], clear: float = CLEAR) -> list[tuple[list[int], list[list[int]]]]:
+        """Sequences of a document's state with a state for each line: what the line's features say if they are clear."""
+        alone = cls.fit([([y], [x]) for y, lines in sequences for x in lines])
+        out = []
+        for y, lines in sequences:
+            emit = alone.emit[np.array(lines)].sum(1) + alone.start
+            odds = emit[:, 1] - emit[:, 0]
+            out.append((np.where(np.abs(odds) > clear, odds > 0, y).astype(int).tolist(), lines))
+        return out
+
+    @classmethod
+    def fit(cls, sequences: list[tuple[list[int], list[list[int]]]], rounds: int = 100, rate: float = 0.1, decay: float = 1e-3) -> LineCrf:
+        """Maximum likelihood by Adam over all sequences at once; a sequence is the states of its lines and their features."""
+        if len({y for states, _ in sequences for y in states}) < 2:
             return cls()
         n, t = len(sequences), max(len(x) for _, x in sequences)
         used = np.zeros((n, t), bool)
         x = np.zeros((n, t, len(FEATURES)), np.int64)
         y = np.zeros((n, t), np.int64)
-        for i, (label, lines) in enumerate(sequences):
-            used[i, : len(lines)], x[i, : len(lines)], y[i, : len(lines)] = True, lines, label
+        for i, (states, lines) in enumerate(sequences):
+            used[i, : len(lines)], x[i, : len(lines)], y[i, : len(lines)] = True, lines, states
         sizes = [N_FEATURES * 2, 4, 2]
         w, m, v = (np.zeros(sum(sizes)) for _ in range(3))
         hot = np.eye(2)
@@ -235,7 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, samp
 
     rows = sample.select(F.col("doc_id").cast("long"), "text", "quality").mapInArrow(cut, "doc_id long, at int, quality int, x binary")
     rows = rows.orderBy("at", F.xxhash64("doc_id"), "doc_id", "x").limit(sample_sequences).collect()
-    return LineCrf.fit([(1 - r.quality, np.frombuffer(r.x, np.uint8).reshape(-1, width).tolist()) for r in rows])
+    return LineCrf.fit(LineCrf.weak([(1 - r.quality, np.frombuffer(r.x, np.uint8).reshape(-1, width).tolist()) for r in rows]))
 
 
 def annotate(docs: DataFrame, crf: LineCrf, text: str = "text", out: str = "quality", min_share: float = MIN_CONTENT_SHARE) -> tuple[DataFrame, str]:

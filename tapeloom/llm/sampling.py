@@ -13,11 +13,15 @@ score of a path: sums over the sample weighted with its inverse are unbiased.
 
 Pieces don't reach across the start of a run of spaces, so the lattice is built for each distinct word of a batch, and
 all words of a batch are walked at once. Random numbers are hashes of the row's key, the round, the word and the step:
-a row gives the same sample in any batch or partition. Sets that lie beyond a node whose paths have less than
-exp(CUTOFF) of all probability are never opened: together they have less than the rounding of a double.
+a row gives the same sample in any batch or partition. A word of more than LONG characters, as in scripts without spaces,
+has its lattice built along the word and its walks finished alone, at a few microseconds a character. Sets that lie beyond a node whose paths have less than
+exp(cutoff) of all probability are never opened: at CUTOFF they have together less than the rounding of a double, and a
+cutoff of minus infinity opens all.
 
 Defined cases: a null or empty text has one segmentation, without pieces. A text with fewer segmentations than k gives
-all of them, each with score 1. A null key counts as 0. The character that stands for a space decodes as a space.
+all of them, each with score 1. A null key counts as 0. The character that stands for a space decodes as a space. Equal
+Gumbel values, which 53 random bits hardly ever give, are opened in the order in which their sets were made. Repeated rows
+of a key get equal samples. Other columns aren't read, so their names may be any. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,6 +31,8 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from math import exp
+from math import log as ln
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +48,12 @@ SPACE = "▁"
 CUTOFF = -40.0
 #: Characters of the texts whose lattices are held at a time; a longer text is held alone.
 CHUNK_CHARS = 12_000_000
+#: A word of so many characters has its lattice built along the word, not with other words of its length; and so many
+#: of its places at a time.
+LONG = 192
+PLACES = 1 << 15
+#: Walks that so few words still need are finished one by one.
+FEW = 8
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _RUNS = re.compile(f"{SPACE}+[^{SPACE}]*")
 
@@ -133,6 +145,10 @@ class Lattice:
         degree = np.zeros(int((sizes + 1).sum()), np.int64)
         for size in np.unique(sizes):
             own = np.flatnonzero(sizes == size)
+            if size > LONG:
+                for i in own.tolist():
+                    parts += self._long_edges(words[i], int(self.start[i]), vocabulary, degree)
+                continue
             for k in range(0, len(own), step := max(1, 2_000_000 // int(size) ** 2)):
                 parts.append(self._edges([words[i] for i in own[k : k + step].tolist()], int(size), self.start[own[k : k + step]], vocabulary, degree))
         self.first = (np.cumsum(degree) - degree).astype(np.int32)
@@ -164,28 +180,77 @@ class Lattice:
                 log[lost, 0] = v.byte_log * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))
                 on[lost, 0] = True
             log += beta[:, i + 1 : i + n + 1]
-            shift = log[:, :1].copy()  # of the edge of one character, which is always there
-            e = np.exp(log - shift)
-            totals = np.cumsum(e, 1)
-            whole = totals[:, -1:]
-            beta[:, i] = (shift + np.log(whole))[:, 0]
-            # the likeliest edge comes first, so most draws end there; the others follow by width
-            best = e.argmax(1)
-            e_best = e[np.arange(len(e)), best][:, None]
-            ahead = np.arange(n)[None] < best[:, None]
-            totals = np.where(ahead, totals + e_best, totals)
-            totals[np.arange(len(e)), best] = e_best[:, 0]
-            totals /= whole
-            rows, width = np.nonzero(on)
-            held = on.sum(1)
-            degree[start + i] = held
-            rank = (np.arange(len(rows)) - (np.cumsum(held) - held)[rows]).astype(np.int32) + ahead[on]
-            rank[width == best[rows]] = 0
-            log -= beta[:, i : i + 1]
-            for column, value in zip(out, (start[rows] + np.int32(i), rank, piece[on], (width + 1).astype(np.int32), log[on], totals[on]), strict=True):
+            beta[:, i], columns = Lattice._ranked(log, on, piece, start + np.int32(i), degree)
+            for column, value in zip(out, columns, strict=True):
                 column.append(value)
         return tuple(np.concatenate(x) for x in out)
 
+    @staticmethod
+    def _ranked(log: np.ndarray, on: np.ndarray, piece: np.ndarray, node: np.ndarray, degree: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+        """The mass behind each node (a row of its edges by width, with the mass behind them), and its edges' columns."""
+        shift = log[:, :1].copy()  # of the edge of one character, which is always there
+        e = np.exp(log - shift)
+        totals = np.cumsum(e, 1)
+        whole = totals[:, -1:]
+        beta = (shift + np.log(whole))[:, 0]
+        # the likeliest edge comes first, so most draws end there; the others follow by width
+        best = e.argmax(1)
+        e_best = e[np.arange(len(e)), best][:, None]
+        ahead = np.arange(log.shape[1])[None] < best[:, None]
+        totals = np.where(ahead, totals + e_best, totals)
+        totals[np.arange(len(e)), best] = e_best[:, 0]
+        totals /= whole
+        rows, width = np.nonzero(on)
+        held = on.sum(1)
+        degree[node] = held
+        rank = (np.arange(len(rows)) - (np.cumsum(held) - held)[rows]).astype(np.int32) + ahead[on]
+        rank[width == best[rows]] = 0
+        return beta, (node[rows], rank, piece[on], (width + 1).astype(np.int32), log[on] - beta[rows], totals[on])
+
+    @staticmethod
+    def _long_edges(word: str, start: int, v: Vocabulary, degree: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+        """The edges of one long word: all look-ups of PLACES nodes at once, and one number after another only for the masses."""
+        size, base, mask = len(word) + 1, int(_BASE), (1 << 64) - 1
+        codes, sums = [ord(SPACE), *map(ord, word)], [0]
+        for c in codes:
+            sums.append((sums[-1] * base + c) & mask)
+        prefix, codes = np.array(sums, np.uint64), np.array(codes, np.int64)
+        beta = [0.0] * (size + 1)
+        out = []
+        for low in reversed(range(0, size, PLACES)):
+            high = min(size, low + PLACES)
+            log = np.full((high - low, v.longest), -np.inf)
+            piece = np.zeros((high - low, v.longest), np.int32)
+            on = np.zeros((high - low, v.longest), bool)
+            for k in range(1, v.longest + 1):
+                last = min(high, size - k + 1)
+                if last <= low:
+                    break
+                at, found = v.find(prefix[low + k : last + k] - prefix[low:last] * v.powers[k])
+                n = last - low
+                on[:n, k - 1], piece[:n, k - 1], log[:n, k - 1] = found, v.ids[at], np.where(found, v.logs[at], -np.inf)
+            lost = np.flatnonzero(~on[:, 0])
+            c = codes[low + lost]
+            piece[lost, 0] = np.where(c < 0x80, v.single[np.minimum(c, 0x7F)], -1 - c)
+            log[lost, 0] = v.byte_log * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))
+            on[lost, 0] = True
+            rows, width = np.nonzero(on)
+            ends, weights, steps = np.searchsorted(rows, np.arange(1, high - low + 1)).tolist(), log[on].tolist(), (width + 1).tolist()
+            at = len(weights)
+            for i in range(high - low - 1, -1, -1):
+                first = ends[i - 1] if i else 0
+                place = low + i
+                shift = weights[first] + beta[place + 1]
+                total = 1.0
+                for e in range(first + 1, at):
+                    total += exp(weights[e] + beta[place + steps[e]] - shift)
+                beta[place] = shift + ln(total)
+                at = first
+            behind = np.array(beta[low : high + v.longest + 1] + [0.0] * v.longest)
+            log += behind[np.arange(high - low)[:, None] + np.arange(1, v.longest + 1)[None]]
+            out.append(Lattice._ranked(log, on, piece, np.arange(start + low, start + high, dtype=np.int32), degree)[1])
+        return out
+
     def walk(self, node: np.ndarray, end: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Paths from nodes to the ends of their words: all their edges, and the number of edges of each."""
         counts = np.zeros(len(node), np.int64)
@@ -194,6 +259,8 @@ class Lattice:
         here, end, seeds = node[at], end[at], seeds[at]
         step = 0
         while len(at):
+            if step >= LONG and len(at) <= FEW:
+                break
             u = uniform(seeds + np.uint64(step))
             e = self.first[here]
             last = self.first[here + 1] - 1
@@ -208,18 +275,44 @@ class Lattice:
             counts[at] = step + 1
             at, here, end, seeds = at[on], here[on], end[on], seeds[on]
             step += 1
+        rest = {}
+        for i, here, last, seed in zip(at.tolist(), here.tolist(), end.tolist(), seeds, strict=True):
+            rest[i] = self._finish(here, last, seed, step)
+            counts[i] = step + len(rest[i])
         offset = np.cumsum(counts) - counts
         edges = np.empty(int(counts.sum()), np.int32)
         for k, (at, e) in enumerate(steps):
             edges[offset[at] + k] = e
+        for i, found in rest.items():
+            edges[offset[i] + step : offset[i] + counts[i]] = found
         return edges, counts
 
+    def _finish(self, here: int, end: int, seed: np.uint64, step: int) -> list[int]:
+        """The rest of one walk: its edges from a node to the end of the word."""
+        found = []
+        while here < end:
+            stop = min(end, here + PLACES)
+            draws = uniform(seed + np.arange(step, step + stop - here, dtype=np.uint64)).tolist()
+            base = int(self.first[here])
+            first = (self.first[here : stop + 1] - base).tolist()
+            total, width = (x[base : base + first[-1]].tolist() for x in (self.total, self.width))
+            low, k = here, 0
+            while here < stop:
+                u, e, last = draws[k], first[here - low], first[here - low + 1] - 1
+                while u > total[e] and e < last:
+                    e += 1
+                found.append(base + e)
+                here += width[e]
+                k += 1
+            step += k
+        return found
+
 
 class Search:
     """The A* search of one text: the sets still closed, and the paths drawn."""
 
-    def __init__(self, seed: int, words: np.ndarray) -> None:
-        self.seed, self.words = np.uint64(seed), words
+    def __init__(self, seed: int, words: np.ndarray, cutoff: float = CUTOFF) -> None:
+        self.seed, self.words, self.cutoff = np.uint64(seed), words, cutoff
         self.paths: list[tuple[np.ndarray, np.ndarray, float]] = []  # edges, edges of each word, log-probability
         self.closed: list[tuple[float, int, int, int, float, tuple[int, ...]]] = []
         self.made = 0
@@ -231,10 +324,10 @@ class Search:
         n = 640
         while True:
             ahead = before + np.concatenate([[0.0], np.cumsum(logs[fresh : fresh + n])])
-            if len(ahead) <= n or ahead[-1] < CUTOFF:
+            if len(ahead) <= n or ahead[-1] < self.cutoff:
                 break
             n *= 4
-        at = np.flatnonzero((ahead[:-1] > CUTOFF) & (logs[fresh : fresh + n] < -1e-15))
+        at = np.flatnonzero((ahead[:-1] > self.cutoff) & (logs[fresh : fresh + n] < -1e-15))
         if len(at):
             mass = ahead[at] + np.log(-np.expm1(logs[fresh + at]))
             noise = np.log(-np.log(uniform(self.seed + np.uint64(self.made + 1 << 20) + at.astype(np.uint64))))
@@ -265,7 +358,7 @@ class Search:
         return value, path, place, int(edges[j]), before + float(lattice.log[edges[j]])
 
 
-def sample(keys: list[int | None], texts: list[str | None], vocabulary: Vocabulary, k: int = SAMPLES) -> list[list[tuple[np.ndarray, float, float]]]:
+def sample(keys: list[int | None], texts: list[str | None], vocabulary: Vocabulary, k: int = SAMPLES, cutoff: float = CUTOFF) -> list[list[tuple[np.ndarray, float, float]]]:
     """For each text its samples in order: (ids, log-probability, inclusion score)."""
     plain = [(t or "").replace(SPACE, " ") for t in texts]
     runs = {i: [w[1:] for w in _RUNS.findall((SPACE + t.replace(" ", SPACE)))] for i, t in enumerate(plain) if t[:1] == " " or "  " in t}
@@ -280,7 +373,7 @@ def sample(keys: list[int | None], texts: list[str | None], vocabulary: Vocabula
         where[i] = (at, at + len(words))
         at += len(words)
     seeds = mixed(np.array([(x or 0) % (1 << 64) for x in keys], np.uint64) * _BASE + np.uint64(1)).tolist()
-    searches = [Search(seed, numbers[slice(*where.get(i, (end - n, end)))]) for i, (seed, n, end) in enumerate(zip(seeds, sizes.tolist(), ends.tolist(), strict=True))]
+    searches = [Search(seed, numbers[slice(*where.get(i, (end - n, end)))], cutoff) for i, (seed, n, end) in enumerate(zip(seeds, sizes.tolist(), ends.tolist(), strict=True))]
     active = [s for s in searches if len(s.words)]
     opened: list[tuple | None] = [None] * len(active)
     for turn in range(k):
@@ -341,7 +434,7 @@ def vocabulary(file: str) -> Vocabulary:
     return Vocabulary(file)
 
 
-def segmentations(docs: DataFrame, file: str, key: str = "doc_id", text: str = "text", k: int = SAMPLES, with_ids: bool = False) -> DataFrame:
+def segmentations(docs: DataFrame, file: str, key: str = "doc_id", text: str = "text", k: int = SAMPLES, with_ids: bool = False, cutoff: float = CUTOFF) -> DataFrame:
     """A row for each sample: key, sample (from 1), n_pieces, log_prob, inclusion, ids_crc32, and ids if wanted. No shuffle."""
     bounded_batches(docs.sparkSession)
 
@@ -352,7 +445,7 @@ def segmentations(docs: DataFrame, file: str, key: str = "doc_id", text: str = "
         chars = 0
 
         def drawn() -> pa.RecordBatch:
-            found = sample(keys, texts, v, k)
+            found = sample(keys, texts, v, k, cutoff)
             rows = [(d, i + 1, len(ids), log, share, zlib.crc32(ids.tobytes()), ids) for d, samples in zip(keys, found, strict=True) for i, (ids, log, share) in enumerate(samples)]
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.int32()))
             names = ["key", "sample", "n_pieces", "log_prob", "inclusion", "ids_crc32", "ids"][: 6 + with_ids]

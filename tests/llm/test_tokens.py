@@ -196,6 +196,60 @@ def test_samples_decode_and_depend_on_the_key_only():
     assert all((a[0] == b[0]).all() for a, b in zip(alone, found[6], strict=True))
 
 
+def log_mass(v, place, logs, word):
+    """The logarithm of the weights of all segmentations of a word, by a plain sum over its ends."""
+    word = sampling.SPACE + word
+    mass = [0.0] + [-math.inf] * len(word)
+    for j in range(1, len(word) + 1):
+        ways = [mass[i] + logs[place[word[i:j]]] for i in range(max(0, j - v.longest), j) if place.get(word[i:j]) in logs]
+        if place.get(word[j - 1]) not in logs:
+            ways.append(mass[j - 1] + v.byte_log * len(word[j - 1].encode()))
+        mass[j] = float(np.logaddexp.reduce(ways))
+    return mass[-1]
+
+
+def test_sampling_query_equals_brute_force(spark):
+    """Distinct samples of every text that decode to it, each with the log-probability of its pieces."""
+    file = tokens.path("piece_bpe_32k.model")
+    v, docs = sampling.vocabulary(file), spark.read.parquet(f"{DATA}/documents.parquet")
+    place, logs = {p: i for i, p in enumerate(v.pieces)}, dict(zip(v.ids.tolist(), v.logs.tolist(), strict=True))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    rows = Q.op6_sampled_segmentations(spark, DATA).collect()
+    with_ids = {(r.doc_id, r.sample): r.ids for r in sampling.segmentations(docs, file, with_ids=True).collect()}
+    assert {r.doc_id for r in rows} == set(texts) and len(rows) == len(with_ids)
+    masses, single, own = {}, set(v.bytes), collections.defaultdict(set)
+    for r in rows:
+        ids, text = with_ids[r.doc_id, r.sample], texts[r.doc_id]
+        assert r.n_pieces == len(ids) and r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes()) and v.decode(ids) == text
+        assert tuple(ids) not in own[r.doc_id] and 1 <= r.sample <= sampling.SAMPLES and 0 <= r.inclusion <= 1
+        own[r.doc_id].add(tuple(ids))
+        if "  " in text or text[:1] == " " or sampling.SPACE in text:
+            continue
+        words = text.split(" ") if text else []
+        want = sum(v.byte_log if i in single else logs[i] for i in ids) - sum(masses.setdefault(w, None) or masses.update({w: log_mass(v, place, logs, w)}) or masses[w] for w in words)
+        assert abs(r.log_prob - want) < 1e-6 * max(1, abs(want))
+
+
+def test_long_unbroken_texts_are_sampled_fast_and_alike():
+    import time
+
+    v, rng = sampling.vocabulary(tokens.path("piece_bpe_32k.model")), random.Random(3)
+    for letters in ("etaoinshrdlu", "".join(chr(0x4E00 + i) for i in range(3000))):
+        text = "".join(rng.choice(letters) for _ in range(100_000))
+        start = time.process_time()
+        samples = sampling.sample([5], [text], v, 3)[0]
+        assert time.process_time() - start < 6  # 1 to 2 s alone
+        assert len({ids.tobytes() for ids, *_ in samples}) == len(samples) and all(v.decode(ids.tolist()) == text for ids, *_ in samples)
+    words = ["".join(rng.choice("etaoinshé日") for _ in range(n)) for n in (193, 250, 400)]
+    found = sampling.sample([1, 2, 3], words, v, 3)
+    plain, sampling.LONG = sampling.LONG, 10**9
+    try:
+        want = sampling.sample([1, 2, 3], words, v, 3)
+    finally:
+        sampling.LONG = plain
+    assert all((a[0] == b[0]).all() and abs(a[1] - b[1]) < 1e-9 for x, y in zip(found, want, strict=True) for a, b in zip(x, y, strict=True))
+
+
 def test_scores_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(ngrams, "BUCKET_WORDS", 5000)
     monkeypatch.setattr(ngrams, "CHUNK_DOCS", 37)
