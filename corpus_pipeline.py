@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's docs. All but the last return the columns of documents.
+
+Defined cases: null and empty texts fail the quality rules. Null labels, languages and sources count as unknown, and a null
+source is a queue of its own. Rows with a null or a repeated doc_id are rows of their own in near-dedup, where the one that
+stands first in the table stays of each group. Columns besides those of documents pass through all stages but the last,
+whatever their names. An empty table gives no pieces. Very long texts are worked on whole, each in one row.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.llm import langid, minhash, packing, pii, quality
-from tapeloom.llm.common import written
+from tapeloom.llm.common import fresh, written
 from tapeloom.llm.queries import held_out
 from tapeloom.llm.tokens import path
 
@@ -30,11 +35,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the smallest doc_id."""
-    gone = written(minhash.near_duplicates(docs).filter("not kept").select("doc_id").distinct(), "gone")
+    """One document of each group of near duplicates: that with the smallest doc_id.
+
+    If ids are null or repeated they don't name rows; then rows are numbered, and the first row of each group stays."""
+    key, rows = "doc_id", docs
+    if not docs.groupBy("doc_id").count().filter("doc_id is null or count > 1").isEmpty():
+        key = fresh(docs, "row")
+        rows = written(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+    gone = written(minhash.near_duplicates(rows, key=key).filter("not kept").select(key), "gone")
     if gone.count() <= minhash.BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return rows.join(gone, key, "left_anti").select(*docs.columns)
 
 
 def pii_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
