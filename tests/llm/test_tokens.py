@@ -9,6 +9,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 from conftest import DATA
+from pyspark.sql import functions as F
 
 from tapeloom.llm import dac, ngrams, packing, sampling, tokens, warc
 from tapeloom.llm import queries as Q
@@ -360,3 +361,32 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
     texts = {r.doc_id: r.text for r in four.collect()}
     assert texts == {r.doc_id: pii.redact(r.text, pii.spans(r.text)) for r in three}
     check_packed(P.run(spark, DATA).collect(), texts, library("byte_bpe_50k.json"), 0)
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls, repeated rows and ids, clashing names and empty tables pass through all stages."""
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").withColumn("row", F.lit(7)).withColumn("quality", F.lit("x")).withColumn("tokens", F.lit(None).cast("string"))
+    good = docs.join(spark.read.parquet(f"{DATA}/labels.parquet").filter("quality = 1").select("doc_id"), "doc_id", "left_semi").filter("length(text) > 300").orderBy("doc_id").limit(12)
+    twice = good.limit(4)
+    odd = good.limit(3).withColumn("doc_id", F.lit(None).cast("long"))
+    same_id = good.filter("doc_id % 2 = 0").withColumn("doc_id", F.lit(-5).cast("long"))
+    nulls = good.limit(5).select(*(F.lit(None).cast(t).alias(c) for c, t in good.dtypes))
+    table = docs.unionByName(twice).unionByName(odd).unionByName(same_id).unionByName(nulls)
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{DATA}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    table = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = P.minhash_dedup(spark, table.filter("text is not null"), str(tmp_path))
+    assert kept.columns == table.columns
+    from test_duplicates import brute
+
+    texts = [r.text for r in table.filter("text is not null").select("text").collect()]
+    _, parts = brute(dict(enumerate(texts)), 5, 80)
+    groups = collections.Counter(t for t in set(parts.values()))
+    assert kept.count() == len(groups)  # one row of each group, whatever the ids
+    rows = P.run(spark, str(tmp_path)).collect()
+    assert sum(r.length for r in rows) > 0 and max(r.sequence_id for r in rows) == (sum(r.length for r in rows) - 1) // packing.LENGTH
+    table.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.read.parquet(f"{tmp_path}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert P.run(spark, f"{tmp_path}/none").count() == 0
