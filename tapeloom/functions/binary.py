@@ -20,16 +20,26 @@ def figures(values: pa.Array) -> pa.Array:
     """n bytes; their xor; their sum; their sum weighted with n, n - 1, ... 1; the sum of big-endian 32-bit words.
 
     Bytes that don't fill a last word are padded with zeros. A null value has null figures."""
-    rows = []
-    for value in values:
-        if not value.is_valid:
-            rows.append(None)
-            continue
-        raw = value.as_py()
-        b = np.frombuffer(raw, np.uint8)
-        words = np.frombuffer(raw + bytes(-len(raw) % 4), ">u4")
-        rows.append({"n": len(b), "parity": int(np.bitwise_xor.reduce(b)) if len(b) else 0, "total": int(b.sum(dtype=np.int64)), "weighted": int(b.astype(np.int64) @ np.arange(len(b), 0, -1)), "words": int(words.sum(dtype=np.int64))})
-    return pa.array(rows, _ARROW)
+    flat, starts = _flat(values)
+    n = np.diff(starts)
+    own = np.flatnonzero(n)  # empty values have no figures but zeros
+    at, wide = starts[:-1][own], flat.astype(np.int64)
+    place = np.arange(len(flat)) - np.repeat(starts[:-1], n)
+    found = {"n": n, **{k: np.zeros(len(n), np.int64) for k in FIGURES.names[1:]}}
+    if len(own):
+        found["parity"][own] = np.bitwise_xor.reduceat(flat, at)
+        found["total"][own] = np.add.reduceat(wide, at)
+        found["weighted"][own] = n[own] * found["total"][own] - np.add.reduceat(wide * place, at)
+        found["words"][own] = np.add.reduceat(wide << (8 * (3 - place % 4)), at)
+    return pa.StructArray.from_arrays([pa.array(found[k]) for k in FIGURES.names], fields=list(_ARROW), mask=values.is_null())
+
+
+def _flat(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of an Arrow array of binary values, and where each value starts, and the end; null values are empty."""
+    kept = values.cast(pa.large_binary()).fill_null(b"")
+    kept = pa.concat_arrays([kept])  # one buffer from its start on
+    starts = np.frombuffer(kept.buffers()[1], np.int64, len(kept) + 1, 8 * kept.offset)
+    return np.frombuffer(kept.buffers()[2] or b"", np.uint8)[starts[0] : starts[-1]], starts - starts[0]
 
 
 def sum8(f: Column) -> Column:
@@ -102,6 +112,20 @@ def packed(value: Column, size: int, order: str = "little") -> Column:
     return F.unhex(_turned(digits, size) if order == "little" else digits)
 
 
+@F.arrow_udf(T.BinaryType())
+def interleaved(even: pa.Array, odd: pa.Array) -> pa.Array:
+    """The bytes of two chips in turn, as a wide bus reads them; the shorter one counts as filled up with zeros."""
+    out = []
+    for a, b in zip(even.to_pylist(), odd.to_pylist(), strict=True):
+        if a is None or b is None:
+            out.append(None)
+            continue
+        grid = np.zeros((max(len(a), len(b)), 2), np.uint8)
+        grid[: len(a), 0], grid[: len(b), 1] = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+        out.append(grid.tobytes())
+    return pa.array(out, pa.binary())
+
+
 def name_hash(name: Column, slots: int = 72) -> Column:
     """The slot of a file name in a directory's table: case folded, 13 times the last value plus the next character."""
     codes = F.transform(F.filter(F.split(F.upper(name), ""), lambda c: c != ""), F.ascii)

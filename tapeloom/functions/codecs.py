@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -18,7 +18,6 @@ MOST = 16 << 20
 WRAPPINGS = {"raw": -15, "zlib": 15, "gzip": 31}
 RESULT = T.StructType([T.StructField("value", T.BinaryType()), T.StructField("fault", T.StringType())])
 _ARROW = pa.struct([("value", pa.binary()), ("fault", pa.string())])
-_RUN = re.compile(rb"(.)\1*", re.DOTALL)
 
 
 class Fault(Exception):
@@ -54,31 +53,24 @@ def inflated(raw: bytes, wrapping: str = "zlib", most: int = MOST) -> bytes:
             raise Fault("trailing bytes")
 
 
-def runs(raw: bytes) -> Iterator[tuple[int, int]]:
-    """(byte, length) of the runs of equal bytes."""
-    for m in _RUN.finditer(raw):
-        yield m[0][0], len(m[0])
-
-
 def packed_bits(raw: bytes) -> bytes:
-    """Picture rows: a count byte below 128 before literals, above 128 before a repeated byte."""
-    out, literal = bytearray(), bytearray()
+    """Picture rows: a count byte below 128 before literals, above 128 before a repeated byte; runs of three or more repeat."""
+    out, at = bytearray(), 0
 
-    def flush() -> None:
-        for i in range(0, len(literal), 128):
-            part = literal[i : i + 128]
+    def literals(end: int) -> None:
+        for i in range(at, end, 128):
+            part = raw[i : min(end, i + 128)]
             out.append(len(part) - 1)
             out.extend(part)
-        literal.clear()
-
-    for byte, n in runs(raw):
-        while n > 2:
-            k = min(n, 128)
-            flush()
-            out += bytes([257 - k, byte])
-            n -= k
-        literal += bytes([byte]) * n
-    flush()
+
+    for m in re.finditer(rb"(.)\1{2,}", raw, re.DOTALL):
+        literals(m.start())
+        at, end = m.start(), m.end()
+        while end - at > 2:
+            k = min(end - at, 128)
+            out += bytes([257 - k, raw[at]])
+            at += k
+    literals(len(raw))
     return bytes(out)
 
 
@@ -103,66 +95,63 @@ def unpacked_bits(raw: bytes, most: int = MOST) -> bytes:
     return bytes(out)
 
 
+def _counted(most: int, mark: Callable[[int, int], bytes]) -> Callable[[re.Match], bytes]:
+    """A run as marks that count up to most bytes each."""
+
+    def replaced(m: re.Match) -> bytes:
+        byte, whole, rest = m[0][0], *divmod(len(m[0]), most)
+        if whole and rest == 1:  # a mark byte left alone could join what follows
+            return mark(byte, most) * (whole - 1) + mark(byte, most - 4) + mark(byte, 5)
+        return mark(byte, most) * whole + (mark(byte, rest) if rest else b"")
+
+    return replaced
+
+
+def _track(byte: int, n: int) -> bytes:
+    return bytes([0xE5, byte]) + n.to_bytes(2, "big") if n >= 4 or byte == 0xE5 else bytes([byte]) * n
+
+
 def marked_track(raw: bytes) -> bytes:
     """Disk tracks: the mark E5, a byte and a big-endian count for runs of four or more, and for every mark byte."""
-    out = bytearray()
-    for byte, n in runs(raw):
-        while n:
-            k = min(n, 0xFFFF)
-            out += bytes([0xE5, byte]) + k.to_bytes(2, "big") if k >= 4 or byte == 0xE5 else bytes([byte]) * k
-            n -= k
-    return bytes(out)
+    return re.sub(rb"\xe5+|(.)\1{3,}", _counted(0xFFFF, _track), raw, flags=re.DOTALL)
 
 
-def unmarked_track(raw: bytes, most: int = MOST) -> bytes:
-    out, at = bytearray(), 0
+def _unmarked(raw: bytes, mark: bytes, count: Callable[[bytes], bytes], most: int) -> bytes:
+    """Bytes as they stand but for the four that start with a mark."""
+    out, size, at = [], 0, 0
     while at < len(raw):
-        if raw[at] == 0xE5:
+        next_mark = raw.find(mark, at)
+        end = len(raw) if next_mark < 0 else next_mark
+        out.append(raw[at:end])
+        at = end
+        if next_mark >= 0:
             if at + 4 > len(raw):
                 raise Fault("cut off")
-            out += raw[at + 1 : at + 2] * int.from_bytes(raw[at + 2 : at + 4], "big")
+            out.append(count(raw[at : at + 4]))
             at += 4
-        else:
-            out.append(raw[at])
-            at += 1
-        if len(out) > most:
+            size += len(out[-1])
+        size += len(out[-2] if next_mark >= 0 else out[-1])
+        if size > most:
             raise Fault("too long")
-    return bytes(out)
+    return b"".join(out)
+
+
+def unmarked_track(raw: bytes, most: int = MOST) -> bytes:
+    return _unmarked(raw, b"\xe5", lambda m: m[1:2] * int.from_bytes(m[2:], "big"), most)
+
+
+def _memory(byte: int, n: int) -> bytes:
+    return bytes([0xED, 0xED, n, byte]) if n >= 5 or byte == 0xED and n >= 2 else bytes([byte]) * n
 
 
 def marked_memory(raw: bytes) -> bytes:
     """Snapshots: ED ED, a count and a byte for runs of five or more, two or more of ED; no run right after a single ED."""
-    out, after = bytearray(), False
-    for byte, n in runs(raw):
-        if after and n:
-            out.append(byte)
-            n -= 1
-            after = False
-        while n:
-            k = min(n, 255)
-            if k >= 5 or byte == 0xED and k >= 2:
-                out += bytes([0xED, 0xED, k, byte])
-            else:
-                out += bytes([byte]) * k
-                after = byte == 0xED
-            n -= k
-    return bytes(out)
+    # a byte after a single ED stands alone, so that three marks don't meet
+    return re.sub(rb"(?<!\xed)\xed(?!\xed)[^\xed]|\xed{2,}|(.)\1{4,}", lambda m: m[0] if m[0][0] == 0xED and len(m[0]) == 2 and m[0][1] != 0xED else _counted(255, _memory)(m), raw, flags=re.DOTALL)
 
 
 def unmarked_memory(raw: bytes, most: int = MOST) -> bytes:
-    out, at = bytearray(), 0
-    while at < len(raw):
-        if raw[at : at + 2] == b"\xed\xed":
-            if at + 4 > len(raw):
-                raise Fault("cut off")
-            out += raw[at + 3 : at + 4] * raw[at + 2]
-            at += 4
-        else:
-            out.append(raw[at])
-            at += 1
-        if len(out) > most:
-            raise Fault("too long")
-    return bytes(out)
+    return _unmarked(raw, b"\xed\xed", lambda m: m[3:] * m[2], most)
 
 
 ENCODERS: dict[str, Callable[..., bytes]] = {"deflate": deflated, "bits": packed_bits, "track": marked_track, "memory": marked_memory}
@@ -180,18 +169,18 @@ def encode(value: Column, codec: str, **options) -> Column:
     return run(value)
 
 
-def decode(value: Column, codec: str, **options) -> Column:
-    """(value, fault): the decoded bytes, or what is wrong; null for null."""
+def decode(value: Column, codec: str, most: Column | int = MOST, **options) -> Column:
+    """(value, fault): the decoded bytes, or what is wrong; null for null. most bounds the output, for each row if it is a column."""
     work = DECODERS[codec]
 
     @F.arrow_udf(RESULT)
-    def run(values: pa.Array) -> pa.Array:
+    def run(values: pa.Array, bounds: pa.Array) -> pa.Array:
         rows = []
-        for v in values.to_pylist():
+        for v, bound in zip(values.to_pylist(), bounds.to_pylist(), strict=True):
             try:
-                rows.append(None if v is None else {"value": work(v, **options), "fault": None})
+                rows.append(None if v is None else {"value": work(v, most=MOST if bound is None else bound, **options), "fault": None})
             except Fault as e:
                 rows.append({"value": None, "fault": str(e)})
         return pa.array(rows, _ARROW)
 
-    return run(value)
+    return run(value, F.lit(most).cast("long") if isinstance(most, int) else most.cast("long"))

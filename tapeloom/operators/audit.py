@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -41,6 +41,11 @@ def size_faults(files: DataFrame, blocks: DataFrame, file: str, declared: str, h
     return files.join(found, file, "left").select(file, F.col(declared).alias("declared"), size.alias("held"), fault.alias("fault"))
 
 
+def verdicts(blocks: DataFrame, file: str, place: str, valid: Column) -> DataFrame:
+    """(file, n_blocks, valid, first_bad): whether all checksums of a file hold, and the first block whose doesn't."""
+    return blocks.groupBy(file).agg(F.count("*").alias("n_blocks"), F.bool_and(valid).alias("valid"), F.min(F.when(~valid, F.col(place))).alias("first_bad"))
+
+
 def repeated_names(entries: DataFrame, directory: str, name: str) -> DataFrame:
     """(directory, folded, entries): names that a directory holds twice or more, case folded."""
     return entries.groupBy(directory, F.upper(name).alias("folded")).agg(F.count("*").alias("entries")).filter("entries > 1")

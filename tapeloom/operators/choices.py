@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeloom.functions.binary import little
+
 #: Tracks in the order of preference, sectors of a track, sides.
 TRACKS = [*range(80, 85), *range(79, 0, -1), 85, 86]
 SECTORS = [9, 10, 11, 12]
@@ -34,6 +36,26 @@ def fit_geometry(images: DataFrame, size: str) -> DataFrame:
     return images.withColumn("_whole", whole).join(F.broadcast(first.withColumnRenamed("size", "_whole")), "_whole", "left").drop("_whole")
 
 
+def boot_geometry(boot: Column) -> Column:
+    """(tracks, sides, sectors_per_track) that a boot sector declares; null if it can't be a disk's."""
+    sector, total, per_track, sides = (little(boot, at, 2) for at in (0x0B, 0x13, 0x18, 0x1A))
+    cylinder = F.when(sides * per_track > 0, sides * per_track)
+    fits = (F.octet_length(boot) >= SECTOR) & (sector == SECTOR) & sides.between(1, 2) & per_track.between(8, 12) & (total > 0) & (total % cylinder == 0)
+    tracks = F.floor(total / cylinder)
+    return F.when(fits & tracks.between(1, 86), F.struct(tracks.alias("tracks"), sides.alias("sides"), per_track.alias("sectors_per_track")))
+
+
+def geometry_of(images: DataFrame, boot: str, size: str) -> DataFrame:
+    """images with geometry: the boot sector's if it covers the whole sectors exactly, else one that the size fits, else
+    the boot sector's if it isn't larger than the image; null where none is."""
+    declared = images.withColumn("_boot", boot_geometry(F.col(boot)))
+    fitted = fit_geometry(declared, size)
+    covered = F.col("_boot.tracks") * F.col("_boot.sides") * F.col("_boot.sectors_per_track") * SECTOR
+    exact = covered == F.col(size) - F.col(size) % SECTOR
+    chosen = F.when(exact, F.col("_boot")).when(F.col("geometry").isNotNull(), F.col("geometry")).when(covered <= F.col(size), F.col("_boot"))
+    return fitted.withColumn("geometry", chosen).drop("_boot")
+
+
 def pairs(files: DataFrame, keys: list[str], index: str, value: str) -> DataFrame:
     """(keys, index, even, odd): each odd-numbered file with the even-numbered one that follows it."""
     first = files.filter(F.col(index) % 2 == 1).select(*keys, F.col(index), F.col(value).alias("even"))

@@ -6,9 +6,10 @@ are streams of records. Every query reads its tables whole."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions import basic, codecs
@@ -97,7 +98,11 @@ def block_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "f.n", "f.parity", *(fn(f).cast("long").alias(name) for name, fn in sums.items()))
 
 
-@query(None)
+@query(
+    f"""WITH {_BYTES},
+t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(CAST(i AS BIGINT), [CAST(k AS BIGINT) FOR k IN range(8)]), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS entries)
+SELECT doc_id, xor(list_reduce(list_prepend(4294967295, bs), lambda a, b: xor(a >> 8, entries[xor(a & 255, b) + 1])), 4294967295) AS crc FROM bytes, t"""
+)
 def crc_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CRC-32 by the built-in function (its check value is in the tests)."""
     return table(spark, sf_dir, "documents").select("doc_id", F.crc32(_bytes("text")).alias("crc"))
@@ -219,8 +224,6 @@ SELECT l_orderkey, place AS block, CASE WHEN l_orderkey % 5 <> 0 THEN n - place
 )
 def chain_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks linked by ship date; the last block of every fifth file points back to its first, and so loops."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("l_orderkey")
     blocks = table(spark, sf_dir, "lineitem").select("l_orderkey", F.row_number().over(w.orderBy("l_shipdate", "l_linenumber", "l_partkey")).cast("long").alias("block"), F.count("*").over(w).alias("n"))
     following = F.when(F.col("block") < F.col("n"), F.col("block") + 1).when(F.col("l_orderkey") % 5 == 0, 1)
@@ -399,14 +402,13 @@ def disk_free_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, codec, octet_length(encode(coalesce(text, ''))) AS n_bytes, md5(coalesce(text, '')) AS decoded_md5 FROM documents, (VALUES ('deflate'), ('gzip'), ('raw'), ('bits'), ('track'), ('memory')) AS c(codec)")
 def codec_round_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text through every codec and back."""
+    """Every text through every codec and back, in one pass over the texts. A text's own length bounds what is decoded."""
+    raw = F.col("raw")
     docs = table(spark, sf_dir, "documents").select("doc_id", _bytes("text").alias("raw"))
     ways = {"deflate": ("deflate", {}), "gzip": ("deflate", {"wrapping": "gzip"}), "raw": ("deflate", {"wrapping": "raw"}), "bits": ("bits", {}), "track": ("track", {}), "memory": ("memory", {})}
-    each = [docs.select("doc_id", F.lit(name).alias("codec"), codecs.decode(codecs.encode(F.col("raw"), codec, **o), codec, **o).alias("d")) for name, (codec, o) in ways.items()]
-    out = each[0]
-    for more in each[1:]:
-        out = out.union(more)
-    return out.select("doc_id", "codec", F.octet_length("d.value").cast("long").alias("n_bytes"), F.md5("d.value").alias("decoded_md5"))
+    each = [F.struct(F.lit(name).alias("codec"), codecs.decode(codecs.encode(raw, codec, **o), codec, F.octet_length(raw), **o)["value"].alias("value")) for name, (codec, o) in ways.items()]
+    out = docs.select("doc_id", F.explode(F.array(*each)).alias("d"))
+    return out.select("doc_id", "d.codec", F.octet_length("d.value").cast("long").alias("n_bytes"), F.md5("d.value").alias("decoded_md5"))
 
 
 @query(
@@ -474,21 +476,124 @@ def pulse_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.running_start(pulses, ["user_id"], ["ts", "event_id"], F.col("cycles"), "cycle").select("event_id", F.col("cycle").cast("long").alias("cycle"))
 
 
-@query("SELECT conv_id, turn, md5(coalesce(text, '')) AS listed_md5 FROM conversations WHERE ascii(coalesce(text, '')) < 128 AND NOT regexp_matches(coalesce(text, ''), '[^\\x00-\\x7F]') AND NOT contains(coalesce(text, ''), '?')")
-def program_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of plain characters as lines of a program, stored and listed again."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
-    plain = turns.filter(~F.col("text").rlike("[^\\x00-\\x7F]") & ~F.col("text").contains("?"))
-    return _listings(plain)
+#: The parts of a line as the tokeniser takes them, and what is listed for each: quoted text, and all after REM, keep
+#: their bytes up to 255, ? is PRINT outside them, and a character without a byte is a question mark.
+_PARTS = r"""\"[^\"]*\"?|REM[\s\S]*|DATA(?:[^:\"]|\"[^\"]*\"?)*|""" + "|".join(re.escape(k).replace("'", "''") for k in sorted(basic.KEYWORDS, key=len, reverse=True)) + r"|\?|[\s\S]"
+_LISTED = rf"""WITH parts AS (SELECT conv_id, turn, regexp_extract_all(coalesce(text, ''), '{_PARTS}') AS p FROM conversations)
+SELECT conv_id, turn, md5(array_to_string(list_transform(p, lambda x:
+    CASE WHEN x = '?' THEN 'PRINT' WHEN x[1] = '"' OR starts_with(x, 'REM') THEN regexp_replace(x, '[^\x00-\x{{FF}}]', '?', 'g')
+    WHEN starts_with(x, 'DATA') THEN array_to_string(list_transform(regexp_extract_all(x, '\"[^\"]*\"?|[^\"]+'), lambda y: CASE WHEN y[1] = '"' THEN regexp_replace(y, '[^\x00-\x{{FF}}]', '?', 'g') ELSE regexp_replace(y, '[^\x00-\x7F]', '?', 'g') END), '')
+    ELSE regexp_replace(x, '[^\x00-\x7F]', '?', 'g') END), '')) AS listed_md5 FROM parts"""
 
 
-def _listings(turns: DataFrame) -> DataFrame:
+@query(_LISTED)
+def program_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn as a line of a program, stored and listed again: ? as PRINT, characters without a byte as question marks."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
     lines = basic.stored(turns, ["conv_id"], "turn", "text")
     body = F.expr("substring(line, 5, octet_length(line) - 5)")
     return lines.select("conv_id", "turn", F.md5(basic.listed_of(body)).alias("listed_md5"))
 
 
-@query(None)
-def program_listings_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every turn as a line of a program, stored and listed again: ? as PRINT, characters without a byte as question marks."""
-    return _listings(table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text")))
+def _header_values() -> tuple[list[tuple[str, str, str, int]], str]:
+    """(format, field, kind, size) of every field of every header, and SQL rows of them."""
+    each = [(kind, f.name, f.kind, f.size) for kind, fields in headers.FORMATS.items() for f in fields if (kind, f.name) != ("mod", "magic")]
+    return each, ", ".join(f"('{k}', '{n}', '{t}', {size})" for k, n, t, size in each)
+
+
+@query(
+    f"""SELECT p_partkey, format, field, CASE WHEN kind = 's' THEN rtrim(substring(p_name, 1, size)) ELSE CAST((p_partkey * 7 + 3) % (CAST(1 AS BIGINT) << (8 * size)) AS VARCHAR) END AS value
+FROM part, (VALUES {_header_values()[1]}) AS f(format, field, kind, size)"""
+)
+def header_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts written as headers of all formats and read back, a row for each field."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    each = []
+    for kind, fields in headers.FORMATS.items():
+        values = {f.name: F.substring("p_name", 1, f.size) if f.kind == "s" else (F.col("p_partkey") * 7 + 3) % (1 << 8 * f.size) for f in fields if (kind, f.name) != ("mod", "magic")}
+        raw = F.concat(headers.header(values, kind), F.lit(bytes(8)))
+        found = headers.fields(raw, kind)
+        each += [F.struct(F.lit(kind).alias("format"), F.lit(n).alias("field"), found[n].cast("string").alias("value")) for n in values]
+    return parts.select("p_partkey", F.explode(F.array(*each)).alias("h")).select("p_partkey", "h.*")
+
+
+@query(
+    """SELECT layout, conv_id, turn, CASE WHEN layout <> 'tap' THEN ord(role) END AS kind, octet_length(encode(coalesce(text, ''))) AS length, md5(coalesce(text, '')) AS payload_md5
+FROM conversations, (VALUES ('uef'), ('iff'), ('szx'), ('tap'), ('rzx')) AS l(layout)"""
+)
+def chunk_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns written as chunks of one stream for each conversation in every layout, and read back. Chunks are numbered as turns are in order."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.ascii("role").alias("kind"), _bytes("text").alias("payload"))
+    numbered = turns.select("conv_id", "turn", (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1).alias("ordinal"))
+    out = None
+    for name, layout in streams.LAYOUTS.items():
+        found = streams.split(streams.assemble(turns, ["conv_id"], "turn", "kind", "payload", layout), ["conv_id"], "content", layout)
+        found = found.select(F.lit(name).alias("layout"), "conv_id", "ordinal", F.col("kind").cast("long").alias("kind"), F.octet_length("payload").cast("long").alias("length"), F.md5("payload").alias("payload_md5"))
+        out = found if out is None else out.unionByName(found)
+    return out.join(numbered, ["conv_id", "ordinal"]).drop("ordinal")
+
+
+@query(
+    f"""WITH {_pieces(510)},
+b AS (SELECT doc_id, s, (1 + len(x) // 2 + list_sum(list_transform(regexp_extract_all(x, '..'), lambda y: CAST('0x' || y AS BIGINT)))) % 256 AS computed FROM sectors),
+c AS (SELECT *, (computed + CASE WHEN doc_id % 3 = 0 AND s % 4 = 3 THEN 1 ELSE 0 END) % 256 = computed AS valid FROM b)
+SELECT doc_id, count(*) AS n_blocks, bool_and(valid) AS valid, min(CASE WHEN NOT valid THEN s END) AS first_bad FROM c GROUP BY doc_id"""
+)
+def checked_tapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tapes whose blocks carry a checksum, every fourth one of every third tape spoilt: whether all hold."""
+    blocks = tape_blocks(spark, sf_dir)
+    spoilt = ((F.col("doc_id") % 3 == 0) & (F.col("block") % 4 == 3)).cast("long")
+    stored = blocks.withColumn("stored", (F.col("checksum") + spoilt) % 256)
+    return audit.verdicts(stored, "doc_id", "block", F.col("stored") == F.col("checksum"))
+
+
+@query(
+    """WITH h AS (SELECT conv_id, turn, hex(encode(coalesce(text, ''))) AS h FROM conversations),
+p AS (SELECT a.conv_id, a.turn, a.h AS x, b.h AS y, greatest(len(a.h), len(b.h)) // 2 AS n FROM h a JOIN h b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.turn % 2 = 1)
+SELECT conv_id, turn, 2 * n AS n_bytes, md5(array_to_string(list_transform(range(n), lambda i: rpad(substring(x, 2 * i + 1, 2), 2, '0') || rpad(substring(y, 2 * i + 1, 2), 2, '0')), '')) AS hex_md5 FROM p"""
+)
+def interleaved_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of a conversation as chips of a cartridge: the bytes of each pair in turn."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", _bytes("text").alias("rom"))
+    merged = choices.pairs(turns, ["conv_id"], "turn", "rom").select("conv_id", "turn", B.interleaved("even", "odd").alias("rom"))
+    return merged.select("conv_id", "turn", F.octet_length("rom").cast("long").alias("n_bytes"), F.md5(F.hex("rom").cast("binary")).alias("hex_md5"))
+
+
+_PLAUSIBLE = "bs = 512 AND si BETWEEN 1 AND 2 AND sp BETWEEN 8 AND 12 AND tot > 0 AND tot % (si * sp) = 0 AND tot // (si * sp) BETWEEN 1 AND 86"
+
+
+@query(
+    f"""WITH g AS (SELECT *, row_number() OVER (ORDER BY tr, sp, si DESC) AS rank FROM (
+    SELECT t, s, d, CASE WHEN t BETWEEN 80 AND 84 THEN t - 80 WHEN t < 80 THEN 5 + 79 - t ELSE t END AS tr, s AS sp, d AS si FROM range(1, 87) a(t), range(9, 13) b(s), range(1, 3) c(d))),
+f AS (SELECT t * s * d * 512 AS fsize, arg_min(t, rank) AS ft, arg_min(d, rank) AS fd, arg_min(s, rank) AS fs FROM g GROUP BY 1),
+i AS (SELECT o_orderkey, (o_orderkey % 2 + 1) * (o_orderkey % 5 + 8) * (o_orderkey % 87 + 1) * 512 + o_orderkey % 3 AS size, CASE WHEN o_orderkey % 11 = 0 THEN 256 ELSE 512 END AS bs,
+    o_custkey % 3 AS si, o_custkey % 6 + 7 AS sp, (o_custkey % 3) * (o_custkey % 6 + 7) * (o_orderkey % 90) + CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END AS tot FROM orders),
+b AS (SELECT *, CASE WHEN {_PLAUSIBLE} THEN tot // (si * sp) END AS bt FROM i LEFT JOIN f ON fsize = size - size % 512),
+c AS (SELECT *, CASE WHEN bt * si * sp * 512 = size - size % 512 THEN 'boot' WHEN ft IS NOT NULL THEN 'size' WHEN bt * si * sp * 512 <= size THEN 'boot' END AS way FROM b)
+SELECT o_orderkey, CASE way WHEN 'boot' THEN bt WHEN 'size' THEN ft END AS tracks, CASE way WHEN 'boot' THEN si WHEN 'size' THEN fd END AS sides, CASE way WHEN 'boot' THEN sp WHEN 'size' THEN fs END AS sectors_per_track FROM c"""
+)
+def boot_geometries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as disk images whose boot sectors declare a geometry, some of them wrongly."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    sides, per_track = c % 3, c % 6 + 7
+    total = sides * per_track * (k % 90) + (k % 7 == 0).cast("long")
+    parts = [F.lit(bytes(0x0B)), B.packed(F.when(k % 11 == 0, 256).otherwise(512), 2), F.lit(bytes(6)), B.packed(total, 2), F.lit(bytes(3)), B.packed(per_track, 2), B.packed(sides, 2), F.lit(bytes(512 - 28))]
+    images = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(*parts).alias("boot"), ((k % 2 + 1) * (k % 5 + 8) * (k % 87 + 1) * 512 + k % 3).alias("size"))
+    return choices.geometry_of(images, "boot", "size").select("o_orderkey", "geometry.*")
+
+
+@query(
+    """WITH asked AS (SELECT l_orderkey, l_linenumber, p_brand, lower(p_name) AS p_name FROM lineitem JOIN part ON p_partkey = l_partkey),
+folded AS (SELECT p_brand, upper(p_name) AS f, min({'a': p_size, 'b': p_retailprice, 'c': p_partkey}) AS e FROM part GROUP BY ALL)
+SELECT l_orderkey, l_linenumber, e.a AS p_size, e.c AS p_partkey FROM asked LEFT JOIN folded ON asked.p_brand = folded.p_brand AND upper(asked.p_name) = f"""
+)
+def entry_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests with the whole first entry of their name."""
+    part = table(spark, sf_dir, "part").select("p_size", "p_retailprice", "p_partkey", "p_brand", "p_name")
+    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), "p_brand", F.lower("p_name").alias("p_name"))
+    asked = table(spark, sf_dir, "lineitem").join(names, F.col("k") == F.col("l_partkey")).select("l_orderkey", "l_linenumber", "p_brand", "p_name")
+    return audit.look_up(asked, part, "p_brand", "p_name").select("l_orderkey", "l_linenumber", "p_size", "p_partkey")
+
+
+#: The same rows under the name that they had in the first version.
+QUERIES["program_listings_all"], ORACLES["program_listings_all"] = program_listings, _LISTED

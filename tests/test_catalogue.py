@@ -24,6 +24,18 @@ def test_long_conversations_take_several_disks(spark, same_rows, tmp_path, name)
     same_rows(catalogue.QUERIES[name](spark, str(tmp_path)), duck.execute(catalogue.ORACLES[name]))
 
 
+def test_texts_beyond_the_default_bound_come_back(spark):
+    from pyspark.sql import functions as F
+
+    from tapeloom.functions import codecs
+
+    raw = spark.range(1).select(F.repeat(F.lit("ab" * 1024 + "c" * 1024), 6000).cast("binary").alias("raw"))
+    for codec in codecs.ENCODERS:
+        encoded = codecs.encode(F.col("raw"), codec)
+        r = raw.select((codecs.decode(encoded, codec, F.octet_length("raw"))["value"] == F.col("raw")).alias("same"), codecs.decode(encoded, codec)["fault"].alias("fault")).first()
+        assert r.same and r.fault == "too long"
+
+
 def test_crc_of_files_is_that_of_zlib(spark):
     import zlib
 
