@@ -36,7 +36,8 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngrams.scores(table(spark, sf_dir, "documents"))
+    found = ngrams.scores(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", F.round("log_score", 5).alias("log_score"), F.round("mean_log", 7).alias("mean_log"))
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,6 +102,23 @@ reached AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)
 """
 
 ORACLES: dict[str, str] = {
+    "op2_lm_scores": rf"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+tokens AS (SELECT r, unnest(w) AS x, unnest(range(len(w))) AS i FROM texts),
+ones AS (SELECT x, count(*) AS n FROM tokens GROUP BY 1),
+corpus AS (SELECT sum(n) AS t FROM ones),
+pairs AS (SELECT a.r, a.x, b.x AS y, count(*) AS own FROM tokens a JOIN tokens b ON a.r = b.r AND b.i = a.i + 1 GROUP BY ALL),
+twos AS (SELECT x, y, sum(own) AS n FROM pairs GROUP BY ALL),
+terms AS (
+    SELECT r, ln(n / t) AS s FROM tokens JOIN ones USING (x), corpus WHERE i = 0
+    UNION ALL
+    SELECT r, own * CASE WHEN twos.n > own THEN ln(twos.n / a.n) ELSE ln(0.4 * b.n / t) END
+    FROM pairs JOIN twos USING (x, y) JOIN ones a USING (x) JOIN ones b ON b.x = pairs.y, corpus
+),
+sums AS (SELECT r, sum(s) AS s FROM terms GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(s, 0), 5) AS log_score, CASE WHEN len(w) > 0 THEN round(s / len(w), 7) END AS mean_log
+FROM texts LEFT JOIN sums USING (r)
+""",
     "op3_embedding_dedup": f"""
 WITH RECURSIVE wide AS (
     SELECT vec_id AS id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings

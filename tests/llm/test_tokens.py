@@ -11,7 +11,7 @@ import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
-from tapeloom.llm import dac, ngrams, packing, sampling, tokens, warc
+from tapeloom.llm import backoff, dac, ngrams, packing, sampling, tokens, warc
 from tapeloom.llm import queries as Q
 
 ODD = [(3, None, "s", 1), (1, "", None, 2), (2, " two  words ", "s", 3), (2, " two  words ", "s", 3), (None, "no key\n\nat all", "t", 4), (9, "word " * 3000, "s", 5)]
@@ -297,6 +297,42 @@ def test_rare_words_have_their_own_counts(spark, monkeypatch, most):
         assert mine[d].n_words == len(x) and abs(mine[d].log_score - want) < 1e-6 * max(1, abs(want))
 
 
+def brute_backoff(texts, order):
+    """Scores word by word: the longest n-gram seen elsewhere, log 0.4 for each word left off."""
+    words = [(t or "").encode().lower().split() for t in texts]
+    own = [collections.Counter(tuple(x[i : i + n]) for n in range(1, order + 1) for i in range(len(x) - n + 1)) for x in words]
+    counts, total = sum(own, collections.Counter()), sum(map(len, words))
+    for x, mine in zip(words, own, strict=True):
+        score = 0.0
+        for i in range(len(x)):
+            most = min(i + 1, order)
+            for n in range(most, 0, -1):
+                g = tuple(x[i - n + 1 : i + 1])
+                if n == 1 or counts[g] > mine[g]:
+                    score += math.log(counts[g] / (counts[g[:-1]] if n > 1 else total)) + (most - n) * math.log(0.4)
+                    break
+        yield len(x), score
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_backoff_of_any_order_equals_brute_force(spark, order):
+    rng = random.Random(order)
+    texts = [" ".join(rng.choice("ab cd E f\tg\n h1 h2".split(" ")) for _ in range(rng.randrange(40))) for _ in range(60)]
+    texts += [None, "", " \n", "a", "a b", *texts[:9], *(f"n{i} n{i + 1} n{i} n{i + 1} x{i}" for i in range(300)), "x " * 5000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("row", F.lit("x"))
+    found = {r.doc_id: r for r in backoff.backoff_scores(docs, order=order).collect()}
+    for i, (n, want) in enumerate(brute_backoff(texts, order)):
+        assert found[i].n_words == n and abs(found[i].log_score - want) < 1e-8 * max(1, abs(want)) and (found[i].mean_log is None) == (n == 0)
+    assert len(found) == len(texts) and backoff.backoff_scores(docs.limit(0)).count() == 0
+
+
+def test_score_query_equals_its_sql_and_the_joins(spark, duck, same_rows):
+    rows = Q.op2_lm_scores(spark, DATA)
+    same_rows(rows, duck.execute(Q.ORACLES["op2_lm_scores"]))
+    joined = {r.doc_id: r for r in backoff.backoff_scores(spark.read.parquet(f"{DATA}/documents.parquet"), order=2).collect()}
+    assert all(joined[r.doc_id].n_words == r.n_words and abs(joined[r.doc_id].log_score - r.log_score) < 1e-5 + 1e-9 * abs(r.log_score) for r in rows.collect())
+
+
 def test_more_words_than_are_numbered(spark):
     n, size = 54, 5000
     texts = [(d, " ".join(f"w{d}x{i}" for i in range(size))) for d in range(n)] + [(n, "w0x0 w0x1 w1x7")]
