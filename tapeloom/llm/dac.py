@@ -12,10 +12,14 @@ Layout of a segment, little-endian:
 - for each level: width u32, entries u32, chunks packed with the highest bit first, then, but for the last level, the
   bitmap in the same bit order and the directory as u32; each part is padded to whole bytes
 
-Segments are rows of a Parquet table, which any store that Spark reaches can hold; row groups give them by number.
+Segments are rows of a Parquet table, which any store that Spark reaches can hold; row groups give them by number. They
+are stored without further compression, so that a token costs the bytes that the codes say. `lookup` reads single tokens
+by their places in the whole table, and `read` checks each document's first token by that way.
 
 Defined cases: a null or empty text holds the end id alone. Null ids come first and read back as null. Repeated rows
-are all kept, in the order of their texts. An empty table writes no segment.
+are all kept; rows of one id are in the order of their texts. A very long text is a segment of its own, of at most 2 GB.
+Other columns aren't read, so their names may be any. An empty table writes no segment, and a place that isn't there has
+no row in `lookup`.
 """
 
 from __future__ import annotations
@@ -39,6 +43,8 @@ SEGMENT_IDS = 1 << 18
 #: Up to so many parts' starts are broadcast (12 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 NULL_ID = -(1 << 63)
+#: Most places that one row asks of a segment.
+LIST = 1 << 16
 
 
 def widths(ids: np.ndarray) -> list[int]:
@@ -162,18 +168,44 @@ def write(docs: DataFrame, file: str, to: str, key: str = "doc_id", text: str =
         if held:
             yield segment()
 
-    rows.mapInArrow(tidy(run), "part int, number int, before long, n_ids long, segment binary").write.parquet(to)
+    rows.mapInArrow(tidy(run), "part int, number int, before long, n_ids long, segment binary").write.option("compression", "none").parquet(to)
 
 
-def read(spark: SparkSession, at: str, key: str = "doc_id", with_ids: bool = False) -> DataFrame:
-    """(key, start, n_tokens, ids_crc32) of each document of a written table, and its ids where with_ids is set."""
-    bounded_batches(spark)
+def _placed(spark: SparkSession, at: str) -> DataFrame:
+    """The segments of a written table with the number of ids before each."""
     segments = spark.read.parquet(at)
     parts = segments.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).withColumn("all_parts", F.lit(0))
     starts = written(totals_before(parts, ["all_parts"], "part", "n_ids", "base").select("part", "base"), "starts")
     if starts.count() <= BROADCAST_ROWS:
         starts = F.broadcast(starts)
-    placed = segments.join(starts, "part").select((F.col("base") + F.col("before")).alias("first"), "segment")
+    return segments.join(starts, "part").select("part", "number", (F.col("base") + F.col("before")).alias("first"), "n_ids", "segment")
+
+
+def lookup(spark: SparkSession, at: str, places: DataFrame, place: str = "place") -> DataFrame:
+    """(place, id): the ids at places of a written table, counted from 0 through all documents, each read alone.
+
+    Segments are found by equal stretches of SEGMENT_IDS places, and each gets its places in lists of at most LIST."""
+    segments = _placed(spark, at)
+    stretch = lambda c: F.floor(c / SEGMENT_IDS)
+    spans = segments.select("part", "number", "first", "n_ids", F.explode(F.sequence(stretch(F.col("first")), stretch(F.col("first") + F.col("n_ids") - 1))).alias("stretch"))
+    asked = places.select(F.col(place).cast("long").alias("at")).filter("at is not null").distinct().withColumn("stretch", stretch(F.col("at")))
+    found = asked.join(spans, "stretch").filter("at >= first and at < first + n_ids")
+    lists = found.groupBy("part", "number", F.floor(F.col("at") / LIST)).agg(F.collect_list("at").alias("places")).select("part", "number", "places")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, raw, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                segment = Segment(raw.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([segment.id(p - first) for p in own], pa.int64())], ["place", "id"])
+
+    joined = segments.join(lists, ["part", "number"]).select("first", "segment", "places")
+    return joined.mapInArrow(run, "place long, id long").withColumnRenamed("place", place)
+
+
+def read(spark: SparkSession, at: str, key: str = "doc_id", with_ids: bool = False) -> DataFrame:
+    """(key, start, n_tokens, ids_crc32) of each document of a written table, and its ids where with_ids is set."""
+    bounded_batches(spark)
+    placed = _placed(spark, at).select("first", "segment")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,6 +213,8 @@ def read(spark: SparkSession, at: str, key: str = "doc_id", with_ids: bool = Fal
                 segment = Segment(raw.as_py())
                 flat, ends = segment.ids().astype("<u4"), np.cumsum(segment.sizes)
                 cuts = list(zip((ends - segment.sizes).tolist(), ends.tolist(), strict=True))
+                if any(segment.id(a) != flat[a] for a, b in cuts if a < b):
+                    raise ValueError(f"the directory of the segment at {first} leads to other ids")
                 columns = [pa.array(segment.documents, pa.int64()), pa.array(first + ends - segment.sizes, pa.int64()), pa.array(segment.sizes, pa.int64()), pa.array([zlib.crc32(flat[a:b]) for a, b in cuts], pa.int64())]
                 if with_ids:
                     columns.append(pa.array([flat[a:b].tobytes() for a, b in cuts], pa.binary()))

@@ -7,14 +7,14 @@ Each anchor is handed to a deterministic parser that looks at the text around it
 - ip: four groups of digits joined by dots, each at most 255
 - card: 16 to 19 digits, single spaces or hyphens between them allowed, with a right Luhn digit
 - phone: `\\+[0-9][\\x20().0-9-]+[0-9]` with 8 to 15 digits
-- secret: the value after a cue such as `token =`, 8 characters at least
+- secret: the value after a cue such as `token =`, 8 characters at least; cues count in any case, but not inside a word
 - account: after a cue such as `account no.` 6 to 34 letters and digits with 6 digits; an IBAN needs a right check number
 - login: the `user:password` of an address with a scheme
 
 The first four are found leftmost and non-overlapping within their kind; a candidate that fails its check is dropped
 and not tried again from within. Spans of different kinds may overlap. Positions are code points, the end exclusive.
 
-Defined cases: a null or empty text has no spans. Repeated rows get equal spans. Every parser is linear in the run
+Defined cases: a null or empty text has no spans, and an empty table stays empty. Repeated rows get equal spans. Every parser is linear in the run
 that it looks at, so texts of any length pass. A column name that docs already has is avoided by a new name.
 """
 
@@ -46,6 +46,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _SECRET = re.compile(r"""[ \t]{0,3}[=:][ \t]{0,3}["']?([A-Za-z0-9+/_.=-]{8,})""")
 _ACCOUNT = re.compile(r"(?:[ ]?(?:no|nr|number|id)\.?)?[ ]?[:=#]?[ ]?([A-Z]{0,2}[0-9][A-Z0-9]{5,31}|[A-Z]{2}[0-9]{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])", re.I)
+_SMALL = {c: c + 32 for c in range(65, 91)}
 _LOGIN = re.compile(r"([^\s/@:]{1,64}:[^\s/@]{1,128})@[A-Za-z0-9]")
 
 
@@ -57,8 +58,7 @@ def anchors() -> ahocorasick.Automaton:
     found.add_word("://", ("login", 3))
     for kind, cues in (("secret", SECRET_CUES), ("account", ACCOUNT_CUES)):
         for cue in cues:
-            for form in {cue, cue.upper(), cue.capitalize()}:
-                found.add_word(form, (kind, len(cue)))
+            found.add_word(cue, (kind, len(cue)))
     found.make_automaton()
     return found
 
@@ -86,7 +86,10 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
         return []
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     after = dict.fromkeys((*KINDS, "digit"), 0)  # where the next candidate of a kind may start
-    for last, (kind, width) in anchors().iter(text):
+    small = text.lower()
+    if len(small) != len(text):  # the small form of a letter may be two characters
+        small = text.translate(_SMALL)
+    for last, (kind, width) in anchors().iter(small):
         at = last - width + 1
         if kind == "digit":
             if at >= after["card"]:
@@ -118,6 +121,8 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
                 found["email"].append((start, m.end()))
         else:
             end = last + 1
+            if kind != "login" and at and text[at - 1].isalnum():
+                continue  # a cue is a word, or follows a mark as in access_token
             m = (_SECRET if kind == "secret" else _ACCOUNT if kind == "account" else _LOGIN).match(text, end)
             if not m or m.start(1) < after[kind]:
                 continue

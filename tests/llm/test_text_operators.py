@@ -203,6 +203,10 @@ def test_added_spans_and_masking():
     masked = pii.redact(text, pii.spans(text))
     assert not any(x in masked for x in ("24be64439e3e49cf", "hunter22", "12345678", "DE8937", "x@y.zz"))
     assert pii.spans("account of the iban and token of the day") == []
+    value = "24be64439e3e49cf"
+    for cue, found in (("ToKeN", True), ("access_token", True), ("TOKEN", True), ("mytoken", False), ("Ɛtoken", False)):
+        assert bool(pii.spans(f"İ {cue} = {value}")) == found, cue
+    assert [s[0] for s in pii.spans("AcCount 12345678 subaccount 12345678")] == ["account"]
 
 
 def test_pii_query_equals_brute_force(spark):

@@ -146,6 +146,11 @@ def test_codes_query_equals_brute_force(spark, monkeypatch, tmp_path):
         want = np.concatenate([ids(text), np.array([1], "<u4")])
         assert (rows[d].start, rows[d].n_tokens, rows[d].ids_crc32) == (at, len(want), zlib.crc32(want.tobytes()))
         at += len(want)
+    flat = np.concatenate([np.concatenate([ids(text), np.array([1], "<u4")]) for _, text in docs])
+    dac.write(spark.read.parquet(f"{DATA}/documents.parquet"), tokens.path("word_bpe_49k.json"), f"{tmp_path}/all")
+    asked = [0, len(flat) - 1, len(flat), -1, 5, 5, *random.Random(1).sample(range(len(flat)), 400)]
+    found = {r.place: r.id for r in dac.lookup(spark, f"{tmp_path}/all", spark.createDataFrame([(x,) for x in [*asked, None]], "place long")).collect()}
+    assert found == {x: flat[x] for x in asked if 0 <= x < len(flat)}
     odd = spark.createDataFrame(ODD, SCHEMA)
     dac.write(odd, tokens.path("word_bpe_49k.json"), f"{tmp_path}/codes")
     got = sorted((r.start, r.doc_id) for r in dac.read(spark, f"{tmp_path}/codes").collect())
