@@ -52,8 +52,9 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    to = scratch(spark, "archives")
-    warc.convert(table(spark, sf_dir, "pages"), to)
+    legacy, to = scratch(spark, "legacy"), scratch(spark, "archives")
+    warc.archive(table(spark, sf_dir, "pages"), legacy)
+    warc.convert(spark.read.parquet(legacy), to)
     return warc.read(spark, to).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

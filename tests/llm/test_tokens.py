@@ -358,9 +358,12 @@ def test_arc_versions_and_faults():
         assert got[0].payload_at == len(records[0][3]) - 2 and got[1].payload_at == 0
         with pytest.raises(ValueError):
             list(warc.parse_arc(raw[:-1] if records[-1][3] else raw[: raw.rindex(b"raw")]))
-        text = warc.to_warc(got[0], "d" * 64, None).decode()
+        text = warc.to_warc(got[0], "n.arc", "d" * 64, None).decode()
         assert "WARC-Date: 1999-01-02T03:04:05Z" in text and "WARC-Type: response" in text and text.endswith("hi\r\n\r\n")
-        assert warc.to_warc(got[0], "d" * 64, 7).decode().endswith("Content-Length: 2\r\n\r\n\r\n\r\n")
+        target = {"page": 7, "record": "<urn:uuid:1>", "date": "1998-01-01T00:00:00Z", "url": "http://x/"}
+        text = warc.to_warc(got[0], "n.arc", "d" * 64, target).decode()
+        assert text.endswith("Content-Length: 2\r\n\r\n\r\n\r\n") and "WARC-Refers-To: <urn:uuid:1>\r\nWARC-Refers-To-Target-URI: http://x/\r\nWARC-Refers-To-Date: 1998-01-01T00:00:00Z" in text
+        assert len({r.identifier(n) for r in got for n in ("n.arc", "m.arc")}) == 6
     with pytest.raises(ValueError):
         list(warc.parse_arc(raw.replace(b"2 0 tapeloom", b"9 0 tapeloom")))
 
@@ -369,11 +372,30 @@ def test_archives_of_odd_pages(spark, tmp_path):
     same = "x" * 120
     rows = [(5, "http://a/", same, 1), (3, None, same, 1), (3, None, same, 1), (9, "u v\nw", same, 2), (4, "http://b/", None, 3), (6, "http://b/", "", 3), (7, "http://b/", "short", 3), (8, "http://b/", "short", 3), (None, "http://n/", same, 4)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, archive int")
-    warc.convert(pages, f"{tmp_path}/w")
+    warc.archive(pages.repartition(3), f"{tmp_path}/a")
+    warc.convert(spark.read.parquet(f"{tmp_path}/a"), f"{tmp_path}/w")
     got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.read(spark, f"{tmp_path}/w").collect()), key=repr)
     assert got == sorted([(5, 120, "revisit", 3), (3, 120, "response", None), (3, 120, "response", None), (9, 120, "revisit", 3), (4, 0, "response", None), (6, 0, "response", None), (7, 5, "response", None), (8, 5, "response", None), (None, 120, "response", None)], key=repr)
-    warc.convert(pages.limit(0), f"{tmp_path}/none")
-    assert warc.read(spark, f"{tmp_path}/none").count() == 0
+    assert len({r.record_id for r in warc.read(spark, f"{tmp_path}/w").collect()}) == len(rows)
+    import gzip
+
+    whole = b"".join(gzip.decompress(r.archive) for r in spark.read.parquet(f"{tmp_path}/w").collect())  # archives are gzip files
+    assert whole.count(b"WARC/1.1\r\n") == len(rows) and whole.count(b"WARC-Refers-To: <urn:uuid:") == 2
+    warc.archive(pages.limit(0), f"{tmp_path}/none")
+    warc.convert(spark.read.parquet(f"{tmp_path}/none"), f"{tmp_path}/nothing")
+    assert warc.read(spark, f"{tmp_path}/nothing").count() == 0
+
+
+def test_faulty_archives_are_rows(spark, tmp_path):
+    records = [("http://a/", "19990102030405", "text/html", b"first" * 30), ("http://b/", "19990102030406", "text/html", b"second" * 30)]
+    whole = warc.build_arc(1, "w.arc", records)
+    cases = {"whole": whole, "cut": whole[:-5], "version": whole.replace(b"1 0 tapeloom", b"9 0 tapeloom"), "date": whole.replace(b"19990102030406", b"19991302030406"), "long": warc.build_arc(2, "l.arc", [("http://l/", "19990102030405", "text/html", b"x" * 20_000_000)]), "empty": b"", "none": None}
+    archives = spark.createDataFrame([(k, v and bytearray(v)) for k, v in cases.items()], "name string, arc binary")
+    found = {r.name: r.fault for r in warc.faults(archives).collect()}
+    assert set(found) == {"cut", "version", "date", "empty", "none"} and "cut off" in found["cut"]
+    warc.convert(archives, f"{tmp_path}/w")
+    read = warc.read(spark, f"{tmp_path}/w").collect()
+    assert sorted(r.payload_bytes for r in read) == [150, 150, 150, 180, 20_000_000]
 
 
 def test_archive_query_equals_its_sql(spark, duck, same_rows):
