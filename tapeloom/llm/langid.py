@@ -8,7 +8,9 @@ more learned rows, then to the name that sorts first). The score is the winner's
 against the runner-up is below MIN_MARGIN of the winner's size.
 
 Defined cases: a text that is null or has no letter gives `und`, score 0 and a rejection; so does every text when
-no language was learned. With one learned language that language wins with score 1. Repeated rows get equal results.
+no language was learned. With one learned language that language wins with score 1. Repeated rows get equal results. A
+very long text is compressed block by block, in one row. A column name that docs already has is avoided by a new name, and
+an empty table stays empty. Learned languages are counted on the driver, and each has a dictionary that is broadcast.
 """
 
 from __future__ import annotations

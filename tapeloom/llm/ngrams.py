@@ -2,10 +2,14 @@
 
 Every word has its own count. The words with the highest counts, at most VOCABULARY of them (all words of a count or
 none), are numbered and broadcast; all others are rare words, which stand for themselves as hashes of 62 bits. A
-caller's own limit makes a closed vocabulary instead, in which all other words are one unknown word. A word's score given the word before is count(pair) / count(word before) if the pair
-stands in the corpus more often than in the scored document itself, and BACKOFF * count(word) / words of the corpus if
-not, so a text doesn't vouch for itself. A document's score is the sum of the logarithms; its first word has no word
-before it and no penalty.
+caller's own limit makes a closed vocabulary instead, in which all other words are one unknown word. A word's score given
+the word before is count(pair) / count(word before) if the pair stands in the corpus more often than in the scored
+document itself, and BACKOFF * count(word) / words of the corpus if not, so a text doesn't vouch for itself. A document's
+score is the sum of the logarithms; its first word has no word before it and no penalty.
+
+`backoff` has the same scores for any order as plain joins of rows, one for each n-gram of each document. Those rows take
+several times the disk that this query may use (README), so here they are packed: arrays by bucket of hash, which Spark
+deals out and sorts and Python workers join.
 
 Pairs of vocabulary numbers are spread over the keys of KEY_BITS bits by a multiplication that can be undone, and a
 bucket is a range of spread keys. Each task explodes its documents into pairs, sorts them, and writes for each bucket
@@ -20,7 +24,9 @@ that it comes second or first in a text. The bucket of a pair's first word adds
 of the second the others. A rare word stands less often than any numbered word, so no bucket gets a heavy one.
 
 Defined cases: a null or empty text has no words, log_score 0 and a null mean_log. Repeated rows are scored each. An
-empty table gives no rows. Words are split at ASCII white space, and ASCII letters made small.
+empty table gives no rows. Words are split at ASCII white space, and ASCII letters made small. A very long text takes
+time and memory in proportion to its words in one task. Words of equal counts are all numbered or all rare, so ties
+change no score. Equal hashes of different rare words would share their counts. Other columns aren't read.
 """
 
 from __future__ import annotations
