@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, connected, groups, written
 
 THRESHOLD = 0.93
-BLOCK = 512
+BLOCK = 192
 #: Classes of the largest label for each cell, the most cells, the cells of a class, and the most vectors (and bytes) that
 #: the centres are fitted on. Beyond MAX_CELLS cells grow with the table.
 CELL_ROWS = 32
