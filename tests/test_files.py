@@ -41,9 +41,25 @@ def test_files_are_read_and_stream_in(spark, tmp_path):
 
 
 def test_sql_names(spark):
-    assert sql.register(spark) == ["byte_figures", "deflate", "inflate", "map_sum"]
+    from tapeloom.functions import binary as B
+    from tapeloom.operators import rasters
+
+    names = sql.register(spark)
+    assert len(names) == 27 and {"byte_figures", "sniffed", "unpack_track", "adler32"} <= set(names)
     r = spark.sql("select byte_figures(cast('ab' as binary)).total as t, inflate(deflate(cast('hello' as binary), 'gzip'), 'gzip').value as v, inflate(cast('junk' as binary), 'zlib').fault as f").first()
     assert (r.t, bytes(r.v)) == (195, b"hello") and r.f.startswith("bad data")
+    rows = spark.createDataFrame([(bytearray(b"C64File\0" + bytes(range(40))), 200, "Readme.TXT"), (bytearray(b"\xed" * 300 + b"ab"), 77, "x"), (bytearray(), 0, "")], "b binary, y int, n string")
+    f = B.figures("b")
+    want = {"sum8": B.sum8(f), "sum16": B.sum16(f), "header_sum": B.header_sum(f), "sector_sum": B.sector_sum(f), "longword_sum": B.longword_sum(f), "boot_sum": B.boot_sum(f), "adler32": B.adler32(f), "parity8": f["parity"]}
+    for name, column in want.items():
+        assert [x[0] for x in rows.selectExpr(f"{name}(b)").collect()] == [x[0] for x in rows.select(column).collect()], name
+    other = {"byte_at(b, 3)": B.byte_at(F.col("b"), 3), "big_endian(b, 1, 3)": B.big(F.col("b"), 1, 3), "little_endian(b, 1, 3)": B.little(F.col("b"), 1, 3), "name_hash(n)": B.name_hash(F.col("n")), "screen_row(y)": rasters.row_offset(F.col("y")), "sniffed(b)": headers.sniffed(F.col("b"))}
+    for text, column in other.items():
+        assert [x[0] for x in rows.selectExpr(text).collect()] == [x[0] for x in rows.select(column).collect()], text
+    for codec in ("bits", "track", "memory"):
+        assert all(x[0] for x in rows.selectExpr(f"unpack_{codec}(pack_{codec}(b)).value = b").collect())
+    assert [bytes(x[0]) for x in rows.selectExpr("interleaved(cast('ac' as binary), cast('b' as binary))").limit(1).collect()] == [b"abc\0"]
+    assert spark.sql("select basic_listed(basic_tokens('PRINT 1')) as t").first().t == "PRINT 1"
 
 
 def mastered(spark, files):
