@@ -1,7 +1,7 @@
 """Fixed headers of many file formats, declared as fields; reading and writing them are column expressions.
 
 `sniffed` names a file's format from its first bytes or its length, never from its name; `fields` gives the values of a
-format's header. A file that is too short for a field has null there."""
+format's header, and `read` adds what is wrong with a file. A file that is too short for a field has null there."""
 
 from __future__ import annotations
 
@@ -84,6 +84,31 @@ def fields(content: Column, kind: str) -> Column:
     return F.struct(*each)
 
 
+def fault(content: Column, kind: str) -> Column:
+    """What is wrong with a file as one of a format: `no content`, `wrong magic`, `too short`, or null."""
+    ends = max(f.at + f.size for f in FORMATS[kind])
+    magics = [F.substring(content, at + 1, len(magic)) == F.lit(magic) for name, at, magic in MAGICS if name == kind]
+    right = F.lit(not magics)
+    for m in magics:
+        right = right | m
+    return F.when(content.isNull(), "no content").when(~right, "wrong magic").when(F.octet_length(content) < ends, "too short")
+
+
+def read(files: DataFrame, content: str, kind: str, mode: str = "PERMISSIVE") -> DataFrame:
+    """files with header (the format's fields) and fault. As in Spark's own sources, PERMISSIVE keeps faulty files with
+    the fields that are there, DROPMALFORMED leaves them out, and FAILFAST fails the job with the first one."""
+    wrong = fault(F.col(content), kind)
+    out = files.withColumn("header", fields(F.col(content), kind)).withColumn("fault", wrong)
+    if mode == "DROPMALFORMED":
+        return out.filter("fault is null")
+    if mode == "FAILFAST":
+        message = F.concat(F.lit(f"not a file of format {kind}: "), wrong)
+        return out.withColumn("fault", F.when(wrong.isNotNull(), F.raise_error(message).cast("string")))
+    if mode != "PERMISSIVE":
+        raise ValueError(f"mode {mode}")
+    return out
+
+
 def header(values: dict[str, Column], kind: str) -> Column:
     """The bytes of a header: the format's magic and the given fields, zeros elsewhere. Texts are cut or padded with zeros."""
     parts = [(at, len(m), F.lit(m)) for name, at, m in MAGICS if name == kind][:1]

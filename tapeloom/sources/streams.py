@@ -11,6 +11,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapeloom.functions.binary import packed
 
@@ -37,16 +38,21 @@ RECORDING = Layout(kind=1, length=4, extra=5)
 LAYOUTS = {"uef": TAGGED, "iff": IFF, "szx": SNAPSHOT, "tap": TAPE, "rzx": RECORDING}
 
 
+@F.arrow_udf(T.BinaryType())
+def _joined(chunks: pa.Array) -> pa.Array:
+    return pa.array([b"".join(x.as_py() for x in row.values) for row in chunks], pa.binary())
+
+
 def assemble(chunks: DataFrame, keys: list[str], order: str, kind: str | None, payload: str, layout: Layout) -> DataFrame:
-    """(keys, content): the chunks of each file in their order, as bytes."""
+    """(keys, content): the chunks of each file in their order, as bytes. A file is one row, of at most 2 GB."""
     size = F.octet_length(payload)
     fields = [packed(F.col(kind), layout.kind, layout.order)] if layout.kind and kind else []
     length = packed(size + layout.extra, layout.length, layout.order)
     fields = [*fields, length] if layout.kind_first else [length, *fields]
     padding = F.unhex(F.repeat(F.lit("00"), F.pmod(-size, F.lit(layout.pad)).cast("int")))
     chunk = F.concat(*fields, F.col(payload), padding)
-    listed = F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.hex(chunk).alias("c")))), lambda x: x["c"])
-    return chunks.groupBy(*keys).agg(F.unhex(F.concat(F.lit(layout.header.hex()), F.array_join(listed, ""))).alias("content"))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), chunk.alias("c")))), lambda x: x["c"])
+    return chunks.groupBy(*keys).agg(listed.alias("_chunks")).select(*keys, _joined(F.concat(F.array(F.lit(layout.header)), "_chunks")).alias("content"))
 
 
 def split(files: DataFrame, keys: list[str], content: str, layout: Layout) -> DataFrame:

@@ -25,6 +25,19 @@ def test_short_files_have_null_fields(spark):
     assert (r[0].k, r[0].f.prg_banks, r[0].f.chr_banks) == ("ines", 2, None) and (r[1].k, r[1].f.prg_banks) == (None, None)
 
 
+def test_faulty_headers_are_kept_dropped_or_fatal(spark):
+    raw = {1: b"NES\x1a\x02\x01\x00\x00", 2: b"NES\x1a\x02", 3: b"SEN\x1a\x02\x01\x00\x00", 4: None, 5: b""}
+    files = spark.createDataFrame([(k, v if v is None else bytearray(v)) for k, v in raw.items()], "k int, content binary")
+    found = {r.k: (r.fault, r.header.prg_banks) for r in headers.read(files, "content", "ines").collect()}
+    assert found == {1: (None, 2), 2: ("too short", 2), 3: ("wrong magic", 2), 4: ("no content", None), 5: ("wrong magic", None)}
+    assert [r.k for r in headers.read(files, "content", "ines", "DROPMALFORMED").collect()] == [1]
+    assert headers.read(files.filter("k = 1"), "content", "ines", "FAILFAST").first().fault is None
+    with pytest.raises(Exception, match="not a file of format ines"):
+        headers.read(files, "content", "ines", "FAILFAST").collect()
+    with pytest.raises(ValueError):
+        headers.read(files, "content", "ines", "LAX")
+
+
 def test_files_are_read_and_stream_in(spark, tmp_path):
     (tmp_path / "in" / "deep").mkdir(parents=True)
     (tmp_path / "in" / "a.uef").write_bytes(b"UEF File!\0\x0a\x00")
