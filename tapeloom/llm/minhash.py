@@ -47,8 +47,9 @@ BLOCK = 384
 STAR = 256
 #: Cells of the matrices in a comparison of two blocks.
 CELLS = 4_000_000
-#: Up to so many rows (class, its groups) are broadcast; beyond it the texts of their classes are shuffled.
-BROADCAST_IDS = 200_000
+#: Up to so many deals of classes to groups are broadcast (about 30 bytes each); beyond it the texts of their classes are
+#: shuffled. As many ids that a later stage removes are broadcast, too.
+BROADCAST_IDS = 500_000
 
 
 class WordHashes(dict):
@@ -226,7 +227,7 @@ def _compare(percent: int):
 
 def _with_marks(rows: DataFrame, deals: DataFrame, width: int) -> DataFrame:
     """deals (id, deals) of classes joined to the texts of their ids, as sets: (id, deal's fields, marks)."""
-    few = deals.count() <= BROADCAST_IDS
+    few = (deals.agg(F.sum(F.size("deals"))).first()[0] or 0) <= BROADCAST_IDS
     texts = rows.join(F.broadcast(deals) if few else deals, "id").select("id", "deals", "text")
     kind = deals.schema["deals"].dataType.simpleString()
     sets = texts.mapInArrow(tidy(_sets(width, ["id", "deals"])), f"id long, deals {kind}, marks binary")
