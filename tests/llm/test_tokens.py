@@ -453,3 +453,23 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
     table.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
     spark.read.parquet(f"{tmp_path}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/none/labels.parquet")
     assert P.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_columns_with_the_names_of_inner_ones(spark, tmp_path):
+    """Operators read their own columns only, so others may have the names that they use inside."""
+    from tapeloom.llm import embeddings, minhash
+
+    names = "id key band digest queue part at n ids row window size first cell side marks deals component words total weight label2 bucket number base".split()
+    texts = ["one two three four five six", "one two three four five six", "other words that stand alone", None]
+    docs = spark.createDataFrame([(i, t, "s", *["x"] * len(names)) for i, t in enumerate(texts)], "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    assert sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(docs, width=3).collect()) == [(0, 0), (1, 0), (2, 2), (3, 3)]
+    assert sum(r.length for r in packing.pack(docs, tokens.path("byte_bpe_50k.json")).collect()) > 20
+    assert len(ngrams.scores(docs).collect()) == len(backoff.backoff_scores(docs).collect()) == 4
+    assert len({r.doc_id for r in sampling.segmentations(docs, tokens.path("piece_bpe_32k.model")).collect()}) == 4
+    dac.write(docs, tokens.path("word_bpe_49k.json"), f"{tmp_path}/codes")
+    assert dac.read(spark, f"{tmp_path}/codes").count() == 4
+    vectors = docs.withColumn("vec_id", F.col("doc_id")).withColumn("label", F.lit(1)).withColumn("embedding", F.array(F.lit(1.0), F.lit(2.0)))
+    assert {(r.n_links, r.component_id) for r in embeddings.near_duplicates(vectors).collect()} == {(3, 0)}
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("http://x/").alias("url"), F.col("text").alias("html"), *names, F.lit("y").alias("page"), F.lit("z").alias("name"), F.lit("w").alias("arc"))
+    warc.archive(pages, f"{tmp_path}/arc")
+    assert spark.read.parquet(f"{tmp_path}/arc").count() > 0
