@@ -44,7 +44,7 @@ UNIVERSE = 1 << 21
 SEED = 20240229
 BLOCK = 384
 #: Members of a group that one copy of its first is compared with in a task.
-STAR = 256
+STAR = 128
 #: Cells of the matrices in a comparison of two blocks.
 CELLS = 4_000_000
 #: Up to so many deals of classes to groups are broadcast (about 30 bytes each); beyond it the texts of their classes are
