@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tapeloom.plans.staging import dropped, fresh, scratch, totals_before
 from tapeloom.plans.staging import staged as written
 
-__all__ = ["bounded_batches", "connected", "dropped", "fresh", "groups", "scratch", "tidy", "totals_before", "written"]
+__all__ = ["bounded_batches", "connected", "dropped", "fresh", "groups", "scratch", "tidy", "totals_before", "trimmed", "written"]
 
 #: Upper bounds of one Arrow batch sent to a Python worker.
 BATCH_ROWS = 4096
@@ -25,17 +25,22 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def trimmed() -> None:
+    """Give what is free back to the system: Python workers live on and would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def tidy(run):
-    """run, but what its task has freed goes back to the system: workers live on and would keep it."""
+    """run, but what its task has freed goes back to the system."""
 
     def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+            trimmed()
 
     return inner
 

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh
+from .common import bounded_batches, fresh, trimmed
 
 UNKNOWN = "und"
 #: Size of a dictionary, the length of its pieces, and the most labelled rows asked for it.
@@ -104,8 +104,12 @@ def annotate(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
     @F.arrow_udf(RESULT)
     def languages(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = Compressors(shared.value)
-        for texts in batches:
-            columns = zip(*(known.predict(t) for t in texts.to_pylist()), strict=True) if len(texts) else ([], [], [], [])
-            yield pa.StructArray.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _ARROW, strict=True)], fields=list(_ARROW))
+        try:
+            for texts in batches:
+                columns = zip(*(known.predict(t) for t in texts.to_pylist()), strict=True) if len(texts) else ([], [], [], [])
+                yield pa.StructArray.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _ARROW, strict=True)], fields=list(_ARROW))
+        finally:
+            del known
+            trimmed()
 
     return docs.withColumn(name, languages(F.col(text))), name

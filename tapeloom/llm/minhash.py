@@ -55,7 +55,7 @@ BROADCAST_IDS = 500_000
 class WordHashes(dict):
     """64-bit hashes of words; emptied when it grows beyond a bound."""
 
-    LIMIT = 250_000
+    LIMIT = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

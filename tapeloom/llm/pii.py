@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, fresh
+from .common import bounded_batches, fresh, trimmed
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret", "account", "login")
@@ -156,8 +156,11 @@ def spans_of(texts: pa.Array) -> pa.Array:
 
 @F.arrow_udf(T.StringType())
 def redacted_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for texts in batches:
-        yield pa.array([redact(t, s) if t and (s := spans(t)) else t for t in texts.to_pylist()], pa.string())
+    try:
+        for texts in batches:
+            yield pa.array([redact(t, s) if t and (s := spans(t)) else t for t in texts.to_pylist()], pa.string())
+    finally:
+        trimmed()
 
 
 def annotate(docs: DataFrame, text: str = "text", out: str = "pii") -> tuple[DataFrame, str]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh
+from .common import bounded_batches, fresh, tidy, trimmed
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -251,7 +251,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, samp
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())], ["doc_id", "at", "quality", "x"])
 
-    rows = sample.select(F.col("doc_id").cast("long"), "text", "quality").mapInArrow(cut, "doc_id long, at int, quality int, x binary")
+    rows = sample.select(F.col("doc_id").cast("long"), "text", "quality").mapInArrow(tidy(cut), "doc_id long, at int, quality int, x binary")
     rows = rows.orderBy("at", F.xxhash64("doc_id"), "doc_id", "x").limit(sample_sequences).collect()
     return LineCrf.fit(LineCrf.weak([(1 - r.quality, np.frombuffer(r.x, np.uint8).reshape(-1, width).tolist()) for r in rows]))
 
@@ -262,7 +262,11 @@ def annotate(docs: DataFrame, crf: LineCrf, text: str = "text", out: str = "qual
     name = fresh(docs, out)
 
     @F.arrow_udf(RESULT)
-    def verdicts(texts: pa.Array) -> pa.Array:
-        return pa.array([judge(t, crf, min_share) for t in texts.to_pylist()], _ARROW)
+    def verdicts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            for texts in batches:
+                yield pa.array([judge(t, crf, min_share) for t in texts.to_pylist()], _ARROW)
+        finally:
+            trimmed()
 
     return docs.withColumn(name, verdicts(F.col(text))), name
